@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -50,3 +52,21 @@ def checkpointed(df):
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the session (once per application).
+
+    The driver zips the package and Spark's file server hands it out, so
+    executors need neither a shared source folder nor a PYTHONPATH.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="quillspark-ship-")
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "quillspark_src"), "zip", root.parent, root.name))
+    _shipped.add(app)
