@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.exprs import iso
 from quillspark.llm.names import entity_classes, entity_pairs
 from quillspark.llm.nearest import nearest_day
+from quillspark.llm.sentences import split_sentences
 from quillspark.operators.filings import ticker_at_filing
 from quillspark.sources.tables import table
 
@@ -36,7 +37,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return held.join(near, ["ticker", "filed_date"]).select("accession", "ticker", iso("bar").alias("bar_date"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_entities": p3_entities, "p6_found": p6_found}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of every document."""
+    return split_sentences(table(spark, d, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_entities": p3_entities, "p6_found": p6_found, "p10_found": p10_found}
 
 _CIK = "lpad(ltrim(regexp_replace(cik, '[^0-9]', '', 'g'), '0'), 10, '0')"
 
