@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.exprs import iso
+from quillspark.llm.leaks import leaked_passages
+from quillspark.llm.mixing import mix_shares, mix_sources
 from quillspark.llm.names import entity_classes, entity_pairs
 from quillspark.llm.nearest import nearest_day
 from quillspark.llm.sentences import split_sentences
@@ -37,12 +39,32 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return held.join(near, ["ticker", "filed_date"]).select("accession", "ticker", iso("bar").alias("bar_date"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the test items that leaked into them."""
+    return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_passages")).select("doc_id", "item_id").distinct()
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The leaks with the share of the item that stands in the document and where."""
+    return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_passages"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the training mix, what each counts for, and how often it appears."""
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mix reaches."""
+    return mix_shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of every document."""
     return split_sentences(table(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_entities": p3_entities, "p6_found": p6_found, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p3_entities": p3_entities, "p6_found": p6_found, "p8_found": p8_found, "p8_spans": p8_spans, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 _CIK = "lpad(ltrim(regexp_replace(cik, '[^0-9]', '', 'g'), '0'), 10, '0')"
 
