@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.functions.exprs import cik_key, iso
+from quillspark.functions.exprs import cik_key
 from quillspark.operators import merge
 from quillspark.plans import filers, misc, sponsors
-from quillspark.plans.adapters import relation, relation_sql, with_relations
+from quillspark.plans.adapters import relation, with_relations
 from quillspark.sources.tables import table
 
 TODAY = "2026-01-01"
@@ -329,4 +329,201 @@ def overdue_jobs(spark, d):
 QUERIES = {f.__name__: f for f in (facts_resolve, facts_topline, facts_funnel, coverage_status, coverage_matrix, coverage_drift, unmapped_queue, filer_universe, stopped_filers, latest_per_concept, peer_sets, peer_ladder_outcomes, peer_alternatives, peer_median_value, dcf_values, dcf_substitutions, deal_multiples, deal_identity, sponsors_rollup, sponsors_resolved, plan_year_completeness, trend_matched_plans, review_queue, mature_population, mature_targets, purchase_clusters, superseded_filings, promote_union, promote_gate, merge_latest, upsert_missing_anti, upsert_macro, widen_ranges, price_fate, ticker_owner_count, ticker_routes, macro_latest, macro_change, reconcile_universe, name_norm, cik_norm, accession_norm, json_payload, text_value_extract, text_classify, text_section_density, visible_text, proxy_shape, projection_growth, projection_coherence, dataset_stats, overdue_jobs)}
 
 ORACLE_SQL: dict[str, str] = {}
-_ = (iso, relation_sql, with_relations)
+
+_SUBS = """
+subs as (select adsh, lpad(cik, 10, '0') as cik, name as company, try_cast(sic as int) as sic, form, fp, strptime(period, '%Y%m%d')::date as period_end, strptime(filed, '%Y%m%d')::date as filed from raw_sub),
+classed as (select *, case when sic is null then 'unclassified' when sic = 6798 then 'reit' when sic between 6000 and 6199 then 'bank_credit' when sic between 6200 and 6299 then 'broker' when sic between 6300 and 6411 then 'insurance' when sic between 6500 and 6599 then 'real_estate' when sic between 6700 and 6799 then 'holding' else 'operating' end as sic_class,
+  (period_end - interval 12 month + interval 1 day)::date >= date '2017-12-15' as in_era from subs),
+pop as (select * from classed where form = '10-K' and fp = 'FY' and sic_class = 'operating' and in_era),
+top as (select adsh, arg_min(tag, (try_cast(report as int), try_cast(line as int), tag)) as topline from raw_pre where stmt = 'IS' and inpth = '0' and try_cast(report as int) is not null and try_cast(line as int) is not null and adsh in (select adsh from pop) group by adsh)
+"""
+
+_CONCEPT_ROWS = " union all ".join(f"select '{c.name}' as concept, '{t}' as tag, {i} as rank, {c.quarters} as q, {'true' if c.unmapped_like else 'false'} as can_miss" for c in filers.CONCEPTS for i, t in enumerate(c.tags))
+
+_RESOLVED = (
+    _SUBS
+    + f""",
+tags as ({_CONCEPT_ROWS}),
+cand as (select n.adsh, t.concept, t.tag, t.rank, try_cast(n.value as decimal(28,4)) as value, coalesce(n.value, '') <> '' as has, coalesce(n.coreg, '') <> '' as co, coalesce(n.segments, '') <> '' as seg, n.uom, try_cast(n.qtrs as int) = t.q and strptime(n.ddate, '%Y%m%d')::date = p.period_end as own
+  from raw_num n join tags t on t.tag = n.tag join pop p on p.adsh = n.adsh where n.version like 'us-gaap/%'),
+usable as (select adsh, concept, arg_min(tag, (rank, tag, value)) as tag, arg_min(value, (rank, tag, value)) as value from cand where not co and not seg and uom = 'USD' and own and has group by all),
+hints as (select adsh, concept, bool_or(not co and not seg and uom = 'USD' and own and not has) as nil, bool_or(not co and not seg and uom = 'USD' and not own and has) as other, bool_or(not co and seg and has) as dim, bool_or(not co and not seg and uom <> 'USD' and has) as ccy from cand group by all),
+resolved as (select p.adsh, p.cik, p.company, p.sic, c.concept, u.tag, u.value, case when u.adsh is not null then 'stated' when h.nil then 'absent' when h.other then 'period_mismatch' when h.dim then 'segment_only' when h.ccy then 'not_usd' when c.can_miss and regexp_matches(t.topline, 'revenue|sales|fees|premium|interestincome', 'i') then 'unmapped' else 'absent' end as status, case when c.can_miss then t.topline end as unmapped_tag, p.period_end, p.filed
+  from pop p cross join (select distinct concept, can_miss from tags) c left join usable u on u.adsh = p.adsh and u.concept = c.concept left join hints h on h.adsh = p.adsh and h.concept = c.concept left join top t on t.adsh = p.adsh)
+"""
+)
+
+_MATRIX = "matrix as (select concept, year(filed) as year, quarter(filed) as quarter, count(*) as filings, count(*) filter (where status = 'stated') as stated, round(count(*) filter (where status = 'stated') / count(*), 6) as share from resolved group by all)"
+
+
+def _raw(then: str) -> str:
+    return with_relations("raw_sub", "raw_num", "raw_pre", then=_RESOLVED + then)
+
+
+_LATEST = """
+r as (select *, row_number() over (partition by cik, concept order by period_end desc nulls last, filed desc nulls last, adsh desc nulls last) as rn from facts_long where sic_class = 'operating'),
+latest as (select cik, arg_max(company, (period_end, filed, adsh, concept)) as company, arg_max(sic, (period_end, filed, adsh, concept)) as sic, """ + ", ".join(f"max(case when concept = '{c}' and status = 'stated' then value end) as {c}" for c in ("revenue", "assets", "operating_cash_flow", "capex", "equity", "liabilities", "net_income")) + """ from r where rn = 1 group by cik)
+"""
+
+_PEERS = (
+    _LATEST
+    + """,
+base as (select cik, company, sic, revenue, assets, case when assets > 0 and revenue is not null then revenue::double / assets::double end as turnover from latest),
+placeable as (select * from base where sic is not null and assets > 0),
+"""
+    + ",\n".join(
+        f"p{d} as (select a.cik, count(*) as banded, count(*) filter (where p.revenue > 1000000) as material, median(p.turnover) filter (where p.revenue > 1000000) as med, quantile_cont(p.turnover, 0.75) filter (where p.revenue > 1000000) - quantile_cont(p.turnover, 0.25) filter (where p.revenue > 1000000) as iqr from placeable a join placeable p on p.sic // {10 ** (4 - d)} = a.sic // {10 ** (4 - d)} and p.cik <> a.cik and p.assets::double between a.assets::double / 3 and a.assets::double * 3 group by a.cik)"
+        for d in (4, 3, 2)
+    )
+    + """,
+picked as (select b.*, case when coalesce(p4.material, 0) >= 8 then 4 when coalesce(p3.material, 0) >= 8 then 3 when coalesce(p2.material, 0) >= 8 then 2 end as depth, p4.banded as b4, p3.banded as b3, p2.banded as b2, p4.material as m4, p3.material as m3, p2.material as m2, p4.med as e4, p3.med as e3, p2.med as e2, p4.iqr as i4, p3.iqr as i3, p2.iqr as i2
+  from base b left join p4 on p4.cik = b.cik left join p3 on p3.cik = b.cik left join p2 on p2.cik = b.cik),
+sets as (select cik, company, sic, revenue, assets, depth as sic_depth, coalesce(case depth when 4 then b4 when 3 then b3 when 2 then b2 end, 0) as peers_banded, coalesce(case depth when 4 then m4 when 3 then m3 when 2 then m2 end, 0) as peers_material, round(case depth when 4 then e4 when 3 then e3 when 2 then e2 end, 6) as turnover_median, round(case depth when 4 then i4 when 3 then i3 when 2 then i2 end, 6) as turnover_iqr, round(turnover, 6) as turnover_self,
+  case when sic is null or coalesce(assets <= 0, true) then 'unplaceable' when coalesce(revenue <= 1000000, true) then 'immaterial' when depth is null then 'too_few_peers' else 'served' end as outcome, coalesce(depth < 4, false) as depth_fell_back from picked)
+"""
+)
+
+
+def _peered(then: str) -> str:
+    return with_relations("facts_long", then=_PEERS + then)
+
+
+_VALUED = (
+    _LATEST
+    + """,
+fcf as (select *, case when operating_cash_flow is not null then (operating_cash_flow - coalesce(abs(capex), 0))::double end as fcf_x, coalesce(equity::double, 0) + coalesce(liabilities::double, 0) as whole from latest),
+rated as (select *, case when whole > 0 then (coalesce(equity::double, 0) * 0.095::double + coalesce(liabilities::double, 0) * ((0.0483::double + 0.02::double) * (1 - 0.21::double))) / whole else 0.095::double end as rate_x from fcf),
+outcomes as (select *, case when fcf_x is null then 'no_cash_flow' when fcf_x <= 0 then 'negative_fcf' when rate_x < 0.04 or 0.025 >= rate_x then 'no_discount_rate' else 'valued' end as outcome, (1 + 0.03::double) / (1 + rate_x) as ratio from rated),
+vals as (select cik, company, fcf_x as fcf, round(rate_x, 8) as rate, case when outcome = 'valued' then round(case when abs(rate_x - 0.03::double) < 1e-9 then fcf_x * 10 else fcf_x * ratio * (1 - pow(ratio, 10)) / (1 - ratio) end + fcf_x * pow(1 + 0.03::double, 10) * (1 + 0.025::double) / (rate_x - 0.025::double) / pow(1 + rate_x, 10), 0) end as value, outcome,
+  concat(case when operating_cash_flow is not null and capex is null then 'absent_capex,' else '' end, 'premium_constant,growth_constant,no_beta') as substitutions from outcomes)
+"""
+)
+
+_SPONSORS = """
+per_plan as (select plan_year, ein, coalesce(plan_num, '?') as plan, max(coalesce(participants, 0)) as participants, max(active) as active, min(sponsor_name) as sponsor_name, max(naics) as naics, max(state) as state, max(dfe_code) as dfe_code, max(entity_code) as entity_code, bool_or(coalesce(pension_code like '%2L%' or pension_code like '%2M%', false)) as has_403b, bool_or(form = 'short') as short, bool_or(form = 'main') as main, min(case when plan_eff_date > date '1900-01-01' and plan_eff_date <= make_date(plan_year + 1, 1, 1) then plan_eff_date end) as plan_eff from plan_filings where ein is not null group by all),
+rolled as (select plan_year, ein, min(sponsor_name) as sponsor_name, max(naics) as naics, max(state) as state, count(*) as plans, sum(participants)::bigint as participants_sum, max(participants) as participants_max, sum(active)::bigint as active_sum, max(active) as active_max,
+  string_agg(plan || ':' || participants || ':' || coalesce(active::varchar, '-'), ';' order by plan) as plan_counts, min(plan_eff) as oldest_plan_eff, max(dfe_code) as dfe_code, coalesce(bool_or(dfe_code is not null), false) as is_dfe, coalesce(bool_or(entity_code = '1'), false) as is_multiemployer, coalesce(bool_or(short), false) as files_short_form, coalesce(bool_or(main), false) as files_main_form,
+  case when bool_or(has_403b) and coalesce(max(naics) in ('611110', '611310', '622110', '813110'), false) then 'both' when bool_or(has_403b) then 'plan' when max(naics) in ('611110', '611310', '622110', '813110') then 'naics' end as nonprofit_basis from per_plan group by all)
+"""
+
+_NOISE = ", ".join(f"'{w}'" for w in sponsors.NAME_NOISE)
+
+
+def _name_key(c: str) -> str:
+    return f"array_to_string(list_filter(string_split_regex(trim(regexp_replace(lower(replace({c}, '&', ' and ')), '[^a-z0-9 ]', ' ', 'g')), '\\s+'), lambda w: w <> '' and not list_contains([{_NOISE}], w)), ' ')"
+
+
+_RESOLUTION = (
+    _SPONSORS
+    + f""",
+by_ein as (select ein, min(cik) as ein_cik, max(tickers) as ein_tickers from sec_names where ein is not null and ein <> '' group by 1),
+exact as (select upper(trim(name)) as ekey, min(cik) as exact_cik, count(*) as exact_candidates from sec_names where name is not null group by 1),
+norm as (select {_name_key('name')} as nkey, min(cik) as norm_cik, count(*) as norm_candidates from sec_names group by 1 having {_name_key('name')} <> ''),
+history as (select r.*, b.ein_cik, e.exact_cik, e.exact_candidates, n.norm_cik, n.norm_candidates, b.ein_cik is not null as by_ein, coalesce(b.ein_tickers, '') <> '' as by_ein_listed, e.exact_cik is not null or n.norm_cik is not null as name_matched
+  from rolled r left join by_ein b on b.ein = r.ein left join exact e on e.ekey = upper(trim(r.sponsor_name)) left join norm n on n.nkey = nullif({_name_key('r.sponsor_name')}, ''))
+"""
+)
+
+_TREND = (
+    _RESOLUTION
+    + """,
+done as (select * from history where plan_year <= 2024),
+ends as (select ein, min(plan_year) as first_year, max(plan_year) as last_year, count(*) as years_filed from done group by ein),
+newest as (select ein, min(sponsor_name) as sponsor_name, max_by(naics, plan_year) as naics, max_by(state, plan_year) as state, max_by(plans, plan_year) as plans, max_by(participants_sum, plan_year) as participants_sum, max_by(active_max, plan_year) as active_max, min(oldest_plan_eff) as oldest_plan_eff, bool_or(is_dfe) as is_dfe, bool_or(is_multiemployer) as is_multiemployer, max_by(nonprofit_basis, plan_year) as nonprofit_basis, max_by(by_ein, plan_year) as by_ein, max_by(name_matched, plan_year) as name_matched from done group by ein),
+fp as (select p.ein, p.plan, p.active from per_plan p join ends e on e.ein = p.ein and p.plan_year = e.first_year), lp as (select p.ein, p.plan, p.active from per_plan p join ends e on e.ein = p.ein and p.plan_year = e.last_year),
+cp as (select f.ein, count(*) as common_plans, sum(f.active)::bigint as mf, sum(l.active)::bigint as ml from fp f join lp l on l.ein = f.ein and l.plan = f.plan and f.active is not null and l.active is not null group by 1),
+nf as (select ein, count(*) as n from fp group by 1), nl as (select ein, count(*) as n from lp group by 1), seen as (select ein, max(plan_year) as last_seen_year from history group by 1), ys as (select distinct plan_year as y from done),
+t as (select n.ein, n.sponsor_name, n.naics, n.state, n.plans, n.participants_sum, n.active_max, n.oldest_plan_eff, n.is_dfe, n.is_multiemployer, n.nonprofit_basis, n.by_ein, n.name_matched, e.first_year, e.last_year, e.years_filed, s.last_seen_year, cast(coalesce(c.common_plans, 0) as int) as common_plans, cast(nl.n - coalesce(c.common_plans, 0) as int) as plans_added, cast(nf.n - coalesce(c.common_plans, 0) as int) as plans_dropped, coalesce(c.mf, 0) as matched_first, coalesce(c.ml, 0) as matched_last, (select count(*) from ys where y between e.first_year and e.last_year) - e.years_filed as gap_years, case when s.last_seen_year >= 2024 then 'filing' else 'lapsed' end as status,
+  case when e.years_filed >= 2 and c.mf > 0 then (c.ml - c.mf)::double / c.mf end as pct from newest n join ends e using (ein) join seen s using (ein) join nf on nf.ein = n.ein join nl on nl.ein = n.ein left join cp c on c.ein = n.ein),
+trended as (select * exclude (pct), case when pct is null then 'unknown' when pct > 0.05 then 'growing' when pct < -0.05 then 'declining' else 'flat' end as trend, round(pct, 6) as pct_change from t)
+"""
+)
+
+
+def _plan(body: str, then: str) -> str:
+    return with_relations("plan_filings", "sec_names", then=body + then)
+
+
+_STAGES = ["true", "not coalesce(by_ein, false) and not coalesce(name_matched, false)", "not coalesce(is_dfe, false) and not coalesce(is_multiemployer, false)", "nonprofit_basis is null", "status = 'filing'", "trend in ('flat', 'declining')", "active_max between 20 and 1000", "(date '2026-01-01' - oldest_plan_eff) / 365.25 >= 20"]
+_STAGE_NAMES = ["sponsors", "no registrant", "an employer", "for profit", "still files", "not growing", "of the size", "old enough"]
+_CIK10 = "lpad(ltrim(regexp_replace(cik, '[^0-9]', '', 'g'), '0'), 10, '0')"
+_PROMOTED = f"""
+legs as (select {_CIK10} as cik10, company as name, 'filing' as reason, 0 as no from deals where deal_type in ('operating', 'division_sale') union all select {_CIK10}, name, 'registrant', 1 from sec_names union all select {_CIK10}, null, 'symbol', 2 from company_ticker_history),
+promoted as (select cik10, arg_min(name, (no, name)) filter (where name is not null) as name, string_agg(distinct reason, ',' order by reason) as reasons, count(distinct reason) as n_reasons from legs where cik10 is not null group by 1)
+"""
+
+
+def _funnel_sql(source: str, conditions: list[str], names: list[str]) -> str:
+    held = [" and ".join(f"coalesce({c}, false)" for c in conditions[: k + 1]) for k in range(len(conditions))]
+    counts = ", ".join(f"count(*) filter (where {h}) as c{k}" for k, h in enumerate(held))
+    rows = " union all ".join(f"select {k} as stage_no, '{n}' as stage, c{k} as remaining, {f'c{k - 1} - c{k}' if k else 'cast(0 as bigint)'} as removed, {f'c{k} = 0 and c{k - 1} > 0' if k else 'false'} as collapsed from fc" for k, n in enumerate(names))
+    return f", fc as (select {counts} from {source}) {rows}"
+
+
+ORACLE_SQL.update({
+    "facts_resolve": _raw("select adsh, cik, concept, tag, value, status, period_end, filed from resolved"),
+    "facts_topline": _raw("select * from top"),
+    "facts_funnel": _raw(_funnel_sql("classed", ["true", "form = '10-K'", "fp = 'FY'", "sic_class <> 'unclassified'", "sic_class = 'operating'", "in_era"], ["submissions", "annual report", "full fiscal year", "classified", "operating company", "current era"])),
+    "coverage_status": _raw("select concept, status, count(*) as filings, count(distinct cik) as filers from resolved group by all"),
+    "coverage_matrix": _raw(f", {_MATRIX} select * from matrix"),
+    "coverage_drift": _raw(f", {_MATRIX} select concept, quarter, min(share) as least, max(share) as greatest, round(max(share) - min(share), 6) as span from matrix group by all"),
+    "unmapped_queue": _raw("select * from (select concept, unmapped_tag, count(*) as filings, cast(row_number() over (partition by concept order by count(*) desc, unmapped_tag) as int) as rank from resolved where status = 'unmapped' group by concept, unmapped_tag) where rank <= 20"),
+    "filer_universe": with_relations("raw_sub", "raw_pre", then=_SUBS + """, g as (select cik, arg_max(company, (filed, period_end, adsh)) as company, arg_max(sic, (filed, period_end, adsh)) filter (where sic is not null) as sic, min(period_end) as first_period, max(period_end) as last_period, min(filed) as first_filed, max(filed) as last_filed, count(*) as filings, count(distinct company) as names, string_agg(distinct form, ',' order by form) as forms from subs where cik is not null and cik <> '0000000000' and period_end is not null group by cik), n as (select max(last_period) as newest from g)
+select g.*, case when newest - last_period <= 548 then 'filing' when last_filed >= newest - 548 then 'pending' else 'stopped' end as status from g, n"""),
+    "latest_per_concept": with_relations("facts_long", then=_LATEST + "select * from latest"),
+    "peer_sets": _peered("select *, peers_material * 2 < peers_banded as thinned from sets"),
+    "peer_ladder_outcomes": _peered("select outcome, case when outcome = 'served' then sic_depth end as sic_depth, count(*) as filers from sets group by all"),
+    "peer_alternatives": with_relations("facts_long", then=_LATEST + ", base as (select cik, sic, revenue, assets from latest where sic is not null and assets > 0), " + ", ".join(f"q{d} as (select a.cik, count(*) filter (where p.revenue > 0) as m0, count(*) filter (where p.revenue > 1000000) as m1, count(*) filter (where p.revenue > 10000000) as m10 from base a join base p on p.sic // {10 ** (4 - d)} = a.sic // {10 ** (4 - d)} and p.cik <> a.cik and p.assets::double between a.assets::double / 3 and a.assets::double * 3 group by a.cik)" for d in (4, 3, 2)) + """,
+j as (select b.cik, b.revenue, greatest(coalesce(q4.m0, 0), coalesce(q3.m0, 0), coalesce(q2.m0, 0)) as m0, greatest(coalesce(q4.m1, 0), coalesce(q3.m1, 0), coalesce(q2.m1, 0)) as m1, greatest(coalesce(q4.m10, 0), coalesce(q3.m10, 0), coalesce(q2.m10, 0)) as m10 from base b left join q4 on q4.cik = b.cik left join q3 on q3.cik = b.cik left join q2 on q2.cik = b.cik)
+""" + " union all ".join(f"select {m} as material, {n} as least, count(*) filter (where revenue > {m} and {c} >= {n}) as served from j" for m, n, c in ((0, 8, "m0"), (1000000, 8, "m1"), (10000000, 8, "m10"), (1000000, 3, "m1"), (1000000, 12, "m1")))),
+    "peer_median_value": with_relations("facts_long", then=_LATEST + ", base as (select cik, sic, assets from latest where sic is not null and assets > 0), having_v as (select b.*, l.operating_cash_flow::double / l.revenue::double as v from base b join latest l using (cik) where l.revenue > 0 and l.operating_cash_flow is not null), " + ", ".join(f"q{d} as (select a.cik, count(*) as n, median(p.v) as m from base a join having_v p on p.sic // {10 ** (4 - d)} = a.sic // {10 ** (4 - d)} and p.cik <> a.cik and p.assets::double between a.assets::double / 3 and a.assets::double * 3 group by a.cik)" for d in (4, 3, 2)) + """
+select b.cik, case when q4.n >= 8 then 4 when q3.n >= 8 then 3 when q2.n >= 8 then 2 end as sic_depth, case when q4.n >= 8 then q4.n when q3.n >= 8 then q3.n when q2.n >= 8 then q2.n end as n, round(case when q4.n >= 8 then q4.m when q3.n >= 8 then q3.m when q2.n >= 8 then q2.m end, 6) as median_value from base b left join q4 on q4.cik = b.cik left join q3 on q3.cik = b.cik left join q2 on q2.cik = b.cik"""),
+    "dcf_values": with_relations("facts_long", then=_VALUED + "select * from vals"),
+    "dcf_substitutions": with_relations("facts_long", then=_VALUED + "select outcome, substitution, count(*) as filers from (select outcome, unnest(string_split(substitutions, ',')) as substitution from vals) group by all"),
+    "deal_multiples": with_relations("facts_long", then=f"""
+d as (select accession, {_CIK10} as cik10, filed_date, value_usd from (select *, row_number() over (partition by accession order by id) as rn from deals) where rn = 1 and value_usd is not null and coalesce(filer_role, '') <> 'acquirer'),
+f as (select lpad('4' || lpad(cik, 7, '0'), 10, '0') as cik10, concept, value, period_end from facts_long where status = 'stated' and concept in ('revenue', 'net_income')),
+j as (select d.*, f.concept, f.value, f.period_end from d left join f on f.cik10 = d.cik10 where f.period_end is null or f.period_end < d.filed_date),
+g as (select accession, cik10, filed_date, value_usd, arg_max(value, period_end) filter (where concept = 'revenue') as revenue, arg_max(value, period_end) filter (where concept = 'net_income') as net_income, max(period_end) as pre_end from j group by all)
+select *, round(case when revenue > 0 then value_usd::double / revenue::double end, 6) as to_revenue, round(case when net_income > 0 then value_usd::double / net_income::double end, 6) as to_income from g"""),
+    "deal_identity": f"with d as (select accession, max({_CIK10}) as cik10, max(filed_date) as filed_date from deals group by 1) select *, max(filed_date) over (partition by cik10) as last_filed, max(filed_date) over (partition by cik10) > filed_date as files_later from d",
+    "sponsors_rollup": _plan(_SPONSORS, "select * from rolled"),
+    "sponsors_resolved": _plan(_RESOLUTION, "select plan_year, ein, sponsor_name, ein_cik, exact_cik, exact_candidates, norm_cik, norm_candidates, by_ein, by_ein_listed, name_matched from history"),
+    "plan_year_completeness": "with g as (select plan_year, count(*) as filings from entity_review group by 1) select plan_year, filings, round(filings / (select max(filings) from g), 6) as share from g",
+    "trend_matched_plans": _plan(_TREND, "select * from trended"),
+    "review_queue": _plan(_RESOLUTION, "select plan_year, ein, sponsor_name, coalesce(exact_cik, norm_cik) as matched_cik, case when exact_cik is not null then 'exact_name' else 'normalized_name' end as match_basis, coalesce(exact_candidates, norm_candidates) as candidates, least(participants_sum, 2147483647) as participants from history where not by_ein and name_matched"),
+    "mature_population": _plan(_TREND, _funnel_sql("trended", _STAGES, _STAGE_NAMES)),
+    "mature_targets": _plan(_TREND, "select ein, sponsor_name, active_max, trend, oldest_plan_eff from trended where " + " and ".join(f"({s})" for s in _STAGES)),
+    "purchase_clusters": with_relations("buys", then="""days as (select issuer, role, day, list(distinct buyer) as buyers, sum(value) as value, count(*) as n, row_number() over (partition by issuer, role order by day) as i from buys group by issuer, role, day)
+select issuer, role, first, max(day) as last, cast(count(distinct buyer) as int) as buyers, cast(max(n) as bigint) as buys, max(value) as value from (
+  select c.issuer, c.role, c.first, c.day, c.n, c.value, unnest(c.bs) as buyer from (select w.*, flatten(list(buyers) over (partition by issuer, role, first)) as bs, sum(cnt) over (partition by issuer, role, first) as n, sum(val) over (partition by issuer, role, first) as value from (
+    with recursive walk as (select issuer, role, day, day as first, i, buyers, value as val, n as cnt from days where i = 1 union all select d.issuer, d.role, d.day, case when d.day - w.first >= 3 then d.day else w.first end, d.i, d.buyers, d.value, d.n from walk w join days d on d.issuer = w.issuer and d.role = w.role and d.i = w.i + 1) select * from walk) w) c)
+group by issuer, role, first having count(distinct buyer) >= 2 and max(value) >= case role when 'insider' then 100 else 200 end"""),
+    "superseded_filings": "with f as (select o_orderkey as accession, case when o_orderkey % 5 = 0 then '4/A' else '4' end as form, o_custkey as issuer, o_orderpriority as owners, year(o_orderdate) as period from orders) select accession, form, issuer, period from f where form = '4/A' or not exists (select 1 from f a where a.form = '4/A' and a.issuer = f.issuer and a.owners = f.owners and a.period = f.period)",
+    "promote_union": with_relations("sec_names", then=_PROMOTED + "select * from promoted"),
+    "promote_gate": with_relations("sec_names", "facts_long", then=_VALUED + ", " + _PROMOTED + "select p.cik10, name, reasons, n_reasons, coalesce(v.outcome = 'valued', false) as passed, case when coalesce(v.outcome = 'valued', false) then null else coalesce(v.outcome, 'no_figures') end as reason from promoted p left join (select lpad('4' || lpad(cik, 7, '0'), 10, '0') as cik10, outcome from vals) v on v.cik10 = p.cik10"),
+    "merge_latest": "select ticker, date, source, close, volume from (select *, row_number() over (partition by ticker, date, source order by ingested_at desc, close desc nulls last, volume desc nulls last) as rn from prices_eod_raw where ticker not like 'ZTEST%') where rn = 1",
+    "upsert_missing_anti": "select distinct ticker, date from prices_eod_raw n where year(date) >= 2020 and not exists (select 1 from prices_eod_raw o where year(o.date) <= 2020 and o.ticker = n.ticker and o.date = n.date)",
+    "upsert_macro": with_relations("macro", then="o as (select * from macro where obs_date < date '2024-01-20'), n as (select series_id, obs_date, case when day(obs_date) = 12 then null else cast(value + 1 as decimal(18,2)) end as value from macro where obs_date >= date '2024-01-10') select coalesce(n.series_id, o.series_id) as series_id, coalesce(n.obs_date, o.obs_date) as obs_date, coalesce(n.value, o.value) as value from o full join n on n.series_id = o.series_id and n.obs_date = o.obs_date"),
+    "widen_ranges": "select cik, ticker, min(first_seen) as first_seen, max(last_seen) as last_seen, cast(sum(filings) as bigint) as filings, string_agg(distinct source, ' and ' order by source) as source from company_ticker_history group by all",
+    "price_fate": """with own as (select cik, ticker, min(first_seen) as first_seen, max(last_seen) as last_seen from company_ticker_history group by all), span as (select ticker, min(date) as first_bar, max(date) as last_bar from prices_eod_raw group by 1)
+select cik, own.ticker, first_seen, last_seen, first_bar, last_bar, case when first_bar <= last_seen and last_bar >= first_seen then 'usable' when last_seen < (select min(date) from prices_eod_raw) then 'before_our_history' when first_bar is null then 'not_in_file' else 'other_owner_bars' end as fate from own left join span on span.ticker = own.ticker""",
+    "ticker_owner_count": "select ticker, count(distinct cik) as owners, string_agg(distinct cik, ',' order by cik) as ciks from company_ticker_history group by 1",
+    "ticker_routes": "select source, count(*) as rows, count(distinct cik) as ciks, count(distinct ticker) as tickers from company_ticker_history group by 1",
+    "macro_latest": with_relations("macro", then="select distinct on (series_id) series_id, obs_date, value from macro where value is not null order by series_id, obs_date desc"),
+    "macro_change": with_relations("macro", then="n as (select series_id, max(obs_date) as obs_date, arg_max(value, obs_date) as value from macro where value is not null group by 1), j as (select n.series_id, k.days, n.value, max(m.obs_date) as then_date, arg_max(m.value, m.obs_date) as then_value from n cross join (select unnest([7, 20]) as days) k left join macro m on m.series_id = n.series_id and m.value is not null and m.obs_date <= n.obs_date - k.days::int group by all) select *, value - then_value as change from j"),
+    "reconcile_universe": "select ticker, case when s = 3 then 'both' when s = 1 then 'left_only' else 'right_only' end as side from (select ticker, sum(s) as s from (select distinct ticker, 1 as s from prices_eod_raw union all select distinct ticker, 2 from company_ticker_history) where ticker is not null group by 1)",
+    "name_norm": f"select {_name_key('sponsor_name')} as name_key, count(*) as names from (select distinct sponsor_name from entity_review where sponsor_name is not null) group by 1",
+    "cik_norm": f"select {_CIK10} as cik10, count(*) as rows, count(distinct cik) as spellings from deals group by 1",
+    "accession_norm": "select id, accession from deals",
+    "json_payload": "select event_type, cast(props->>'$.k' as int) as k, count(*) as events from events group by all",
+    "text_value_extract": r"""select doc_id, (select cast(max(a) as bigint) from (select round(cast(replace(regexp_extract(x, '\$ ?([0-9][0-9,]*(?:\.[0-9]+)?)', 1), ',', '') as double) * case when x like '%thousand' then 1e3 when x like '%million' then 1e6 when x like '%billion' or x like '%bn' then 1e9 else 1 end) as a from (select unnest(regexp_extract_all(lower(text), '\$ ?[0-9][0-9,]*(?:\.[0-9]+)? ?(?:thousand|million|billion|bn)?')) as x)) where a between 1e4 and 5e11) as amount from documents""",
+    "text_classify": "with s as (select " + ", ".join(f"{' + '.join(f'(case when regexp_matches(lower(text), $${p}$$) then {w} else 0 end)' for x, w, p in misc.PHRASES if x == b)} as {b}" for b in sorted({b for b, _, _ in misc.PHRASES})) + " from documents), m as (select *, greatest(commercial, debt, equity, governance, merger, plan) as best from s) select case when best = 0 then null when (commercial = best)::int + (debt = best)::int + (equity = best)::int + (governance = best)::int + (merger = best)::int + (plan = best)::int > 1 then null when commercial = best then 'commercial' when debt = best then 'debt' when equity = best then 'equity' when governance = best then 'governance' when merger = best then 'merger' else 'plan' end as bucket, count(*) as documents from m group by 1",
+    "text_section_density": r"""with b as (select doc_id, k, len(regexp_extract_all(substr(text, k * 400 + 1, 400), '[0-9][0-9,.]*')) as n from (select doc_id, text, unnest(range(0, greatest(1, cast(ceil(length(text) / 400) as bigint)))) as k from documents)) select doc_id, case when max(n) >= 3 then cast(arg_min(k, (-n, k)) * 400 as bigint) end as at from b group by doc_id""",
+    "proxy_shape": "select *, case when prices > 1 then 'several_prices' when prices = 1 then 'one_price' else 'no_price' end as shape from (select accession, count(*) as figures, count(*) filter (where field = 'consideration_per_share' and reason = 'stated') as prices, count(*) filter (where field = 'premium_pct' and reason = 'stated') as premiums, count(*) filter (where field = 'termination_fee' and reason = 'stated') as fees from proxy_figure group by 1)",
+    "projection_growth": "with y as (select accession, coalesce(scenario, '') as scenario, fiscal_year, max(revenue) as v from proxy_projection where revenue > 0 group by all), g as (select accession, scenario, count(*) as points, min(fiscal_year) as first_year, max(fiscal_year) as last_year, arg_min(v, fiscal_year) as a, arg_max(v, fiscal_year) as b from y group by all) select accession, scenario, points, first_year, last_year, round(case when last_year > first_year then pow(b::double / a::double, 1.0::double / (last_year - first_year)) - 1 end, 6) as cagr from g",
+    "projection_coherence": "with w as (select *, lag(revenue) over (partition by accession, coalesce(scenario, '') order by fiscal_year, id) as prior from proxy_projection), y as (select id, case when revenue is null then 'no_revenue' when ebit > ebitda then 'ebit_above_ebitda' when not (ebitda::double / nullif(revenue::double, 0) between -2.0 and 0.7) then 'margin' when revenue::double / nullif(prior::double, 0) > 10 or revenue::double / nullif(prior::double, 0) < 0.1 then 'step' end as why from w) select id, why is null as coherent, why from y",
+    "dataset_stats": "select 'prices' as dataset, count(*) as rows, strftime(max(date), '%Y-%m-%d') as newest from prices_eod_raw union all select 'deals', count(*), strftime(max(filed_date), '%Y-%m-%d') from deals union all select 'history', count(*), strftime(max(last_seen), '%Y-%m-%d') from company_ticker_history union all select 'documents', count(*), strftime(max(filed_date), '%Y-%m-%d') from documents",
+    "overdue_jobs": "with l as (select event_type as job, max(ts) as last_run from events group by 1) select job, case when job < 'm' then 1 else 1000 end as due_every_hours, epoch(timestamp '2024-02-05 00:00:00') - floor(epoch(last_run)) > (case when job < 'm' then 1 else 1000 end) * 3600 as overdue from l",
+})
+ORACLE_SQL["stopped_filers"] = f"select cik, last_period from ({ORACLE_SQL['filer_universe']}) where status = 'stopped'"

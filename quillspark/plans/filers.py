@@ -263,7 +263,7 @@ def valuations(facts: DataFrame, *, betas: DataFrame | None = None, rates: Valua
     f = latest_figures(facts)
     f = f.join(betas.select("cik", F.col("beta").cast("double").alias("beta")), "cik", "left") if betas is not None else f.withColumn("beta", F.lit(None).cast("double"))
     d = lambda c: F.col(c).cast("double")
-    cash = F.when(F.col("operating_cash_flow").isNotNull(), d("operating_cash_flow") - F.coalesce(F.abs(d("capex")), F.lit(0.0)))
+    cash = F.when(F.col("operating_cash_flow").isNotNull(), (F.col("operating_cash_flow") - F.coalesce(F.abs("capex"), F.lit(0))).cast("double"))  # exact up to here
     equity_cost = F.when(F.col("beta").isNotNull(), rates.risk_free + F.col("beta") * rates.premium).otherwise(F.lit(rates.flat))
     debt_cost = (rates.risk_free + rates.spread) * (1 - rates.tax)
     whole = F.coalesce(d("equity"), F.lit(0.0)) + F.coalesce(d("liabilities"), F.lit(0.0))
@@ -274,7 +274,7 @@ def valuations(facts: DataFrame, *, betas: DataFrame | None = None, rates: Valua
     v = v.withColumn("outcome", outcome)
     subs = F.array_compact(F.array(F.when(F.col("operating_cash_flow").isNotNull() & F.col("capex").isNull(), F.lit("absent_capex")), F.lit("premium_constant"), F.lit("growth_constant"), F.when(F.col("beta").isNull(), F.lit("no_beta"))))
     value = F.when(F.col("outcome") == "valued", present_value(F.col("fcf"), F.col("rate"), F.lit(rates.growth), F.lit(long_growth), rates.years))
-    return v.select("cik", "company", F.round("fcf", 2).alias("fcf"), F.round("rate", 8).alias("rate"), F.round(value, 0).alias("value"), "outcome", F.array_join(subs, ",").alias("substitutions"))
+    return v.select("cik", "company", "fcf", F.round("rate", 8).alias("rate"), F.round(value, 0).alias("value"), "outcome", F.array_join(subs, ",").alias("substitutions"))
 
 
 def deal_multiples(deals: DataFrame, facts: DataFrame) -> DataFrame:
