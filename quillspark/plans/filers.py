@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.exprs import cik_key
 from quillspark.operators.quality import funnel
+from quillspark.session import checkpointed
 
 # Statuses of a resolved figure.
 STATED, ABSENT, UNMAPPED, NOT_USD, SEGMENT_ONLY, PERIOD_MISMATCH = "stated", "absent", "unmapped", "not_usd", "segment_only", "period_mismatch"
@@ -177,31 +178,65 @@ def _peer_pairs(base: DataFrame, peers: DataFrame, *, depth: int, band: float) -
 def peer_sets(facts: DataFrame, *, material: int = 1_000_000, least: int = 8, band: float = 3.0, depths: Sequence[int] = (4, 3, 2)) -> DataFrame:
     """Peers of every operating filer by industry and size, with the ladder's answer.
 
-    The first depth with enough material peers serves; counts and ratios all come from that depth.
+    The first depth with enough material peers serves; counts and ratios all come from that depth.  Counts need no pairs (``band_counts``);
+    the quartiles do, and take those of the serving depth only.
     """
     base = latest_figures(facts).select("cik", "company", "sic", "revenue", "assets").withColumn("turnover", F.when((F.col("assets") > 0) & F.col("revenue").isNotNull(), F.col("revenue").cast("double") / F.col("assets").cast("double")))
+    base = checkpointed(base)  # one row per filer, read a dozen times below
     placeable = base.where("sic is not null and assets > 0")
-    out = base
-    for depth in depths:
-        pairs = _peer_pairs(placeable, placeable, depth=depth, band=band)
-        mat = F.col("revenue") > material
-        t = F.when(mat, F.col("turnover"))
-        g = pairs.groupBy("a_cik").agg(F.count("*").alias("banded"), F.count_if(mat).alias("material"), F.median(t).alias("median"), (F.percentile(t, F.lit(0.75)) - F.percentile(t, F.lit(0.25))).alias("iqr"))
-        out = out.join(g.select(F.col("a_cik").alias("cik"), F.struct("banded", "material", "median", "iqr").alias(f"d{depth}")), "cik", "left")
-    enough = lambda d: F.coalesce(F.col(f"d{d}.material"), F.lit(0)) >= least
-
-    def pick(field):
-        col = F.when(enough(depths[0]), field(depths[0]))
-        for d in depths[1:]:
-            col = col.when(enough(d), field(d))
-        return col
-
-    depth = pick(F.lit)
+    mat = F.col("revenue") > material
+
+    choice = _depth_choice(placeable, placeable, depths=depths, band=band, measures={"banded": F.lit(True), "material": mat}, deciding="material", least=least)
+
+    def quartiles(pairs: DataFrame) -> DataFrame:
+        q = F.percentile(F.when(mat, F.col("turnover")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        return pairs.groupBy("a_cik").agg(q.alias("q")).select(F.col("a_cik").alias("cik"), F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+
+    out = base.join(choice, "cik", "left").join(_at_depth(placeable, placeable.where(mat), choice, quartiles, depths=depths, band=band), "cik", "left")
+    depth = F.col("depth")
     outcome = F.when(F.col("sic").isNull() | F.coalesce(F.col("assets") <= 0, F.lit(True)), "unplaceable").when(F.coalesce(F.col("revenue") <= material, F.lit(True)), "immaterial").when(depth.isNull(), "too_few_peers").otherwise("served")
-    got = out.select("cik", "company", "sic", "revenue", "assets", depth.alias("sic_depth"), F.coalesce(pick(lambda d: F.col(f"d{d}.banded")), F.lit(0)).alias("peers_banded"), F.coalesce(pick(lambda d: F.col(f"d{d}.material")), F.lit(0)).alias("peers_material"), F.round(pick(lambda d: F.col(f"d{d}.median")), 6).alias("turnover_median"), F.round(pick(lambda d: F.col(f"d{d}.iqr")), 6).alias("turnover_iqr"), F.round("turnover", 6).alias("turnover_self"), outcome.alias("outcome"))
+    got = out.select("cik", "company", "sic", "revenue", "assets", depth.alias("sic_depth"), F.coalesce("banded", F.lit(0)).alias("peers_banded"), F.coalesce("material", F.lit(0)).alias("peers_material"), F.round("median", 6).alias("turnover_median"), F.round("iqr", 6).alias("turnover_iqr"), F.round("turnover", 6).alias("turnover_self"), outcome.alias("outcome"))
     return got.withColumn("depth_fell_back", F.coalesce(F.col("sic_depth") < depths[0], F.lit(False))).withColumn("thinned", F.coalesce(F.col("peers_material") * 2 < F.col("peers_banded"), F.lit(False)))
 
 
+def band_counts(base: DataFrame, peers: DataFrame, *, depth: int, band: float, measures: dict) -> DataFrame:
+    """``cik`` and, per measure (a condition on peers), how many other filers of its industry and size band meet it.
+
+    No pairs: peers and the two bounds of each filer lie in one order of sizes per
+    industry, running sums are read off at the bounds, and their difference is the count.
+    """
+    div, size = 10 ** (4 - depth), F.col("assets").cast("double")
+    ones = [F.coalesce(c, F.lit(False)).cast("bigint").alias(n) for n, c in measures.items()]
+    points = peers.select(F.expr(f"sic div {div}").alias("ind"), size.alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("cik"), *ones)
+    none = [F.lit(0).cast("bigint").alias(n) for n in measures]
+    bound = lambda at, kind: base.select(F.expr(f"sic div {div}").alias("ind"), at.alias("at"), F.lit(kind).alias("kind"), "cik", *none)
+    order = points.unionByName(bound(size / band, 0)).unionByName(bound(size * band, 2))
+    w = Window.partitionBy("ind").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    run = order.select("cik", "kind", *(F.sum(n).over(w).alias(n) for n in measures)).where("cik is not null")
+    ends = run.groupBy("cik").agg(*(F.sum(F.when(F.col("kind") == 2, F.col(n)).otherwise(-F.col(n))).alias(n) for n in measures))
+    own = peers.select("cik", *(o.alias(f"_{n}") for n, o in zip(measures, ones)))
+    return ends.join(own, "cik", "left").select("cik", *((F.col(n) - F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in measures))
+
+
+def _depth_choice(base: DataFrame, peers: DataFrame, *, depths: Sequence[int], band: float, measures: dict, deciding: str, least: int) -> DataFrame:
+    """``cik, depth`` and the measures at the first depth where ``deciding`` reaches ``least``; filers without one are left out."""
+    all_counts = None
+    for d in depths:
+        c = band_counts(base, peers, depth=d, band=band, measures=measures).select("cik", F.struct(F.lit(-d).alias("order"), F.lit(d).alias("depth"), *measures).alias("c"))
+        all_counts = c if all_counts is None else all_counts.unionByName(c)
+    return checkpointed(all_counts.where(F.col(f"c.{deciding}") >= least).groupBy("cik").agg(F.min("c").alias("c")).select("cik", "c.depth", *(f"c.{n}" for n in measures)))
+
+
+def _at_depth(base: DataFrame, peers: DataFrame, choice: DataFrame, summary, *, depths: Sequence[int], band: float) -> DataFrame:
+    """``summary`` of each filer's pairs at its own depth only: no filer meets the peers of a depth that does not serve it."""
+    found = None
+    for d in depths:
+        mine = base.join(choice.where(F.col("depth") == d).select("cik"), "cik", "left_semi")
+        got = summary(_peer_pairs(mine, peers, depth=d, band=band))
+        found = got if found is None else found.unionByName(got)
+    return found
+
+
 def peer_outcomes(sets: DataFrame) -> DataFrame:
     """Filers by outcome and depth."""
     return sets.groupBy("outcome", F.when(F.col("outcome") == "served", F.col("sic_depth")).alias("sic_depth")).agg(F.count("*").alias("filers"))
@@ -209,13 +244,11 @@ def peer_outcomes(sets: DataFrame) -> DataFrame:
 
 def peer_alternatives(facts: DataFrame, *, choices: Sequence[tuple[int, int]] = ((0, 8), (1_000_000, 8), (10_000_000, 8), (1_000_000, 3), (1_000_000, 12)), band: float = 3.0, depths: Sequence[int] = (4, 3, 2)) -> DataFrame:
     """``material, least, served``: filers that other floors would serve, from one pass over the pairs of each depth."""
-    base = latest_figures(facts).select("cik", "sic", "revenue", "assets").where("sic is not null and assets > 0")
-    floors = sorted({m for m, _ in choices})
+    base = checkpointed(latest_figures(facts).select("cik", "sic", "revenue", "assets").where("sic is not null and assets > 0"))
     counts = base
     for d in depths:
-        pairs = _peer_pairs(base, base.drop("company"), depth=d, band=band)
-        g = pairs.groupBy("a_cik").agg(*(F.count_if(F.col("revenue") > m).alias(f"d{d}_{m}") for m in floors))
-        counts = counts.join(g.withColumnRenamed("a_cik", "cik"), "cik", "left")
+        measures = {f"d{d}_{m}": F.col("revenue") > m for m in sorted({m for m, _ in choices})}
+        counts = counts.join(band_counts(base, base, depth=d, band=band, measures=measures), "cik", "left")
     served = [F.count_if((F.col("revenue") > m) & (F.greatest(*(F.coalesce(f"d{d}_{m}", F.lit(0)) for d in depths)) >= n)).alias(f"s{k}") for k, (m, n) in enumerate(choices)]
     rows = F.array(*(F.struct(F.lit(m).alias("material"), F.lit(n).alias("least"), F.col(f"s{k}").alias("served")) for k, (m, n) in enumerate(choices)))
     return counts.agg(*served).select(F.inline(rows))
@@ -223,14 +256,12 @@ def peer_alternatives(facts: DataFrame, *, choices: Sequence[tuple[int, int]] =
 
 def peer_median(facts: DataFrame, values: DataFrame, *, least: int = 8, band: float = 3.0, depths: Sequence[int] = (4, 3, 2)) -> DataFrame:
     """``cik, sic_depth, n, median_value``: the peers' median of any value per filer, at the first depth with enough peers that have one."""
-    base = latest_figures(facts).select("cik", "sic", "assets").where("sic is not null and assets > 0")
-    having = base.join(values.select("cik", F.col("value").alias("_v")).where("_v is not null"), "cik")
-    out = base.select("cik")
-    for d in depths:
-        g = _peer_pairs(base, having, depth=d, band=band).groupBy("a_cik").agg(F.struct(F.lit(d).alias("depth"), F.count("*").alias("n"), F.median(F.col("_v").cast("double")).alias("median")).alias(f"d{d}"))
-        out = out.join(g.withColumnRenamed("a_cik", "cik"), "cik", "left")
-    first = F.coalesce(*(F.when(F.col(f"d{d}.n") >= least, F.col(f"d{d}")) for d in depths))
-    return out.withColumn("f", first).select("cik", F.col("f.depth").alias("sic_depth"), F.col("f.n").alias("n"), F.round("f.median", 6).alias("median_value"))
+    base = checkpointed(latest_figures(facts).select("cik", "sic", "assets").where("sic is not null and assets > 0"))
+    having = checkpointed(base.join(values.select("cik", F.col("value").alias("_v")).where("_v is not null"), "cik"))
+    choice = _depth_choice(base, having, depths=depths, band=band, measures={"n": F.lit(True)}, deciding="n", least=least)
+    median = lambda pairs: pairs.groupBy("a_cik").agg(F.median(F.col("_v").cast("double")).alias("median")).withColumnRenamed("a_cik", "cik")
+    got = base.select("cik").join(choice, "cik", "left").join(_at_depth(base, having, choice, median, depths=depths, band=band), "cik", "left")
+    return got.select("cik", F.col("depth").alias("sic_depth"), "n", F.round("median", 6).alias("median_value"))
 
 
 @dataclass(frozen=True)
