@@ -74,8 +74,10 @@ def split_items(texts: pa.Array) -> pa.ListArray:
     before, after = _last_true(~space), _next_true(~space)
     prev_ink = np.where(here > 0, before[np.maximum(here - 1, 0)], -1)
     next_ink = np.where(here < n - 1, after[np.minimum(here + 1, n - 1)], n)
-    lead_ok = (prev_ink < lo) | _at(delim | opened, prev_ink, lo, hi)
-    trail_ok = (next_ink >= hi) | _at(delim | closed, next_ink, lo, hi)
+    newline = (raw == ord("\n")) | (raw == ord("\r")) | (raw == ord("\t"))
+    line, next_line = _last_true(newline), _next_true(newline)
+    lead_ok = (prev_ink < lo) | _at(delim | opened, prev_ink, lo, hi) | (line > prev_ink)
+    trail_ok = (next_ink >= hi) | _at(delim | closed, next_ink, lo, hi) | (next_line < next_ink)
 
     def first_in_row(mask: np.ndarray) -> np.ndarray:
         nxt = np.append(_next_true(mask), n)
@@ -122,7 +124,6 @@ def split_items(texts: pa.Array) -> pa.ListArray:
     after_bare = _at(digit, p, row_lo, row_hi) & _at(code, p - 3, row_lo, row_hi)  # codes that only white space separates
     _, after_and = word_before(starts, b"and")
     after_quote = _at(double | single, p, row_lo, row_hi)
-    line = _last_true((raw == ord("\n")) | (raw == ord("\r")) | (raw == ord("\t")))
     after_line = np.where(starts > 0, line[np.maximum(starts - 1, 0)], -1) > np.maximum(p, row_lo - 1)
     fresh = (p < row_lo) | _at(delim | opened | closed, p, row_lo, row_hi) | after_bare | after_and | after_quote | after_line
     bare = fresh & ~inside[codes]
