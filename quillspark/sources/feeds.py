@@ -43,7 +43,7 @@ def feed_entries(docs: DataFrame, *, column: str = "xml") -> DataFrame:
 def ownership_transactions(docs: DataFrame, *, column: str = "xml", key: str = "accession") -> DataFrame:
     """One row per open-market purchase of an ownership document, its value shared among joint owners."""
     schema = (
-        "issuer struct<issuerCik: string, issuerTradingSymbol: string>, periodOfReport: string,"
+        "issuer struct<issuerCik: string, issuerTradingSymbol: string>, periodOfReport string,"
         "reportingOwner array<struct<reportingOwnerId: struct<rptOwnerCik: string>, reportingOwnerRelationship: struct<isDirector: string, isOfficer: string, isTenPercentOwner: string>>>,"
         "nonDerivativeTable struct<nonDerivativeTransaction: array<struct<transactionDate: struct<value: string>, transactionCoding: struct<transactionCode: string>, transactionAmounts: struct<transactionShares: struct<value: string>, transactionPricePerShare: struct<value: string>>>>>"
     )
