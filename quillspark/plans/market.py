@@ -177,7 +177,7 @@ def summarise_returns(results: DataFrame, *, label: str, run_ups: DataFrame | No
         F.count_if(good).alias("n"), F.count_if(~good).alias("n_suspect"), F.median(pick("ret")).alias("median_ret"), F.try_divide(total("ret").cast("double"), F.count(pick("ret"))).alias("mean_ret"), F.median(pick("excess")).alias("median_excess"),
         F.try_divide(total("excess").cast("double"), F.count(pick("excess"))).alias("mean_excess"), F.try_divide(F.count_if(good & (F.col("excess") > 0)).cast("double"), F.count_if(good)).alias("win_rate"), F.median(pick("run_up")).alias("median_run_up"),
     )
-    return g.select("label", "h", "n", "n_suspect", *(F.round(c, 6).alias(c) for c in ("median_ret", "mean_ret", "median_excess", "mean_excess", "win_rate", "median_run_up")))
+    return g.select("label", "h", "n", "n_suspect", *(F.round(c, 9).alias(c) for c in ("median_ret", "mean_ret", "median_excess", "mean_excess", "win_rate", "median_run_up")))
 
 
 def event_coverage(events: DataFrame, results: DataFrame) -> DataFrame:

@@ -223,10 +223,10 @@ where date - prev_date <= 30 and (close::double / prev_close::double - 1 >= 1.0
     "outcome_anchor": _returned("select event_id, ticker, event_date, cast(base_i as int) as base_i, base_date, base_close from based"),
     "outcome_forward": _returned("select event_id, ticker, event_date, h, base_date, fwd_date, base_close, fwd_close, split_factor, ret, bench_ret, excess, suspect_unadjusted from results"),
     "outcome_runup": _returned("select * from runups"),
-    "outcome_summary": _returned("""select role as label, h, count(*) filter (where not suspect_unadjusted) as n, count(*) filter (where suspect_unadjusted) as n_suspect, round(median(ret::double) filter (where not suspect_unadjusted), 6) as median_ret,
-  round(sum(ret) filter (where not suspect_unadjusted)::double / nullif(count(ret) filter (where not suspect_unadjusted), 0), 6) as mean_ret, round(median(excess::double) filter (where not suspect_unadjusted), 6) as median_excess,
-  round(sum(excess) filter (where not suspect_unadjusted)::double / nullif(count(excess) filter (where not suspect_unadjusted), 0), 6) as mean_excess,
-  round(count(*) filter (where not suspect_unadjusted and excess > 0)::double / nullif(count(*) filter (where not suspect_unadjusted), 0), 6) as win_rate, round(median(run_up::double) filter (where not suspect_unadjusted), 6) as median_run_up
+    "outcome_summary": _returned("""select role as label, h, count(*) filter (where not suspect_unadjusted) as n, count(*) filter (where suspect_unadjusted) as n_suspect, round(median(ret::double) filter (where not suspect_unadjusted), 9) as median_ret,
+  round(sum(ret) filter (where not suspect_unadjusted)::double / nullif(count(ret) filter (where not suspect_unadjusted), 0), 9) as mean_ret, round(median(excess::double) filter (where not suspect_unadjusted), 9) as median_excess,
+  round(sum(excess) filter (where not suspect_unadjusted)::double / nullif(count(excess) filter (where not suspect_unadjusted), 0), 9) as mean_excess,
+  round(count(*) filter (where not suspect_unadjusted and excess > 0)::double / nullif(count(*) filter (where not suspect_unadjusted), 0), 9) as win_rate, round(median(run_up::double) filter (where not suspect_unadjusted), 9) as median_run_up
   from results r join study_events e using (event_id) left join runups using (event_id) group by role, h"""),
     "outcome_coverage": _returned("select h, (select count(*) from study_events) as events, count(distinct event_id) as scored from results group by h"),
     "ohlc_weekly": with_relations("bars", then=_OHLC.format(unit="week")),

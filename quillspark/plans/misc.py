@@ -161,6 +161,14 @@ def normalised_accession(c: Column) -> Column:
     return F.when(parts[0] != "", F.concat_ws("-", *parts))
 
 
+def trading_symbol(html: Column) -> Column:
+    """``(symbol, route)`` of a filing's cover: the tagged symbol before one in prose, NULL without either."""
+    tagged = F.regexp_extract(html, r'(?is)name="dei:TradingSymbol"[^>]*>(?:\s|<[^>]*>)*([A-Z][A-Z.\-]{0,9})\b', 1)
+    prose = F.regexp_extract(html, r"\((?:NYSE|NASDAQ|Nasdaq|AMEX|OTC)[^:)]{0,20}:\s*([A-Z][A-Z.\-]{0,9})\)", 1)
+    symbol = F.coalesce(F.nullif(tagged, F.lit("")), F.nullif(prose, F.lit("")))
+    return F.when(symbol.isNotNull(), F.struct(symbol.alias("symbol"), F.when(tagged != "", "tag").otherwise("prose").alias("route")))
+
+
 def filings_by_cik(deals: DataFrame) -> DataFrame:
     """Filings with their company's ten-digit key, how often the company files, and whether it files again later."""
     d = deals.withColumn("cik10", cik_key("cik")).groupBy("accession").agg(F.max("cik10").alias("cik10"), F.max("filed_date").alias("filed_date"))

@@ -117,3 +117,14 @@ def test_text_rules(spark):
     r = one.select(misc.visible_text(F.col("h")).alias("v"), misc.largest_amount(F.col("m")).alias("a"), misc.classify_text(F.col("t")).alias("c"), misc.classify_text(F.lit("merger agreement and credit facility")).alias("tie")).first()
     assert tuple(r) == ("a <b> & c", 2_500_000_000, "merger", None)
     assert rows(one.select(sponsors.name_key(F.lit("The Acme & Sons Holdings, Inc.")).alias("k"))) == [("acme sons",)]
+
+
+def test_symbols_and_orders(spark):
+    from quillspark.operators.ordering import sorted_by
+
+    df = spark.createDataFrame([('<ix name="dei:TradingSymbol" id="x"><span>ACME</span></ix> (NYSE: OTHER)',), ("Acme (Nasdaq: ABC)",), ("none",)], "h string")
+    assert rows(df.select(misc.trading_symbol(F.col("h")).alias("s")).select("s.symbol", "s.route")) == [("ABC", "prose"), ("ACME", "tag"), (None, None)]
+    x = spark.createDataFrame([(1, None), (2, 5), (3, 9)], "id int, v int")
+    assert [r["id"] for r in sorted_by(x, "v", {"v": [("v", True)]}).collect()] == [3, 2, 1]
+    with pytest.raises(ValueError):
+        sorted_by(x, "drop table", {"v": [("v", True)]})
