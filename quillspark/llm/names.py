@@ -23,6 +23,8 @@ TAGS = {"brothers": "bros", "services": "svc svcs service", "group": "grp", "hol
 GIVEN = {
     "alexander": "alex sandy", "anthony": "tony", "charles": "chas charlie chuck", "dorothy": "dot dottie", "edward": "ed ned eddie", "elizabeth": "liz beth betty", "frances": "fran fanny", "gerald": "jerry gerry", "james": "jim jimmy jas", "joseph": "joe jos", "katherine": "kate kathy katie", "margaret": "maggie peggy meg", "michael": "mike", "patricia": "pat patty", "richard": "dick rick rich", "robert": "bob rob robt", "samuel": "sam", "theodore": "ted theo", "thomas": "tom thos", "william": "bill will wm",
 }
+#: What may tell two organisations of a like name apart: legal forms and the words that go with them.
+FORMS = {"brothers", "services", "group", "holdings", "international", "national", "company", "corporation", "incorporated", "limited", "llc"}
 _GROUPS = (("line", LINES), ("trade", TRADES), ("kind", KINDS), ("family", FAMILY), ("tag", TAGS), ("given", GIVEN))
 WORDS = {w: (role, full) for role, table in _GROUPS for full, short in table.items() for w in (full, *short.split())}
 
@@ -73,12 +75,18 @@ _LLC = re.compile(r"\bl\.? ?l\.? ?c\b\.?")
 
 
 def parse_name(name: str) -> tuple[str, list[str], str]:
-    """(class, core words, initial) of a name as typed.
+    """(class, core words, initial) of a name as typed."""
+    return _read_name(name)[:3]
+
+
+def _read_name(name: str) -> tuple[str, list[str], str, str]:
+    """(class, core words, initial, form) of a name as typed.
 
     The class holds what tells organisations apart exactly: line of business,
     trade and local number, kind of institution, or founder's first name and
     kind of kin.  The core words are what is left in typed order; a second
-    word typed as one letter is the initial.
+    word typed as one letter is the initial.  The form is the legal form with
+    the words that go with it, in full and sorted.
     """
     text = unicodedata.normalize("NFKD", name)
     text = "".join(ch for ch in text if not unicodedata.combining(ch))
@@ -113,26 +121,27 @@ def parse_name(name: str) -> tuple[str, list[str], str]:
         cls = f"C|{have('line')}"
     core = [tokens[i] for i in unknown]
     if not core:  # a name made of lexicon words only stands for itself
-        return "W|" + "".join(sorted(tokens)), ["".join(tokens)], ""
+        return "W|" + "".join(sorted(tokens)), ["".join(tokens)], "", ""
+    form = " ".join(sorted({r[1] for r in roles if r and r[1] in FORMS}))
     initials = [t for t in core if len(t) == 1]
     words = [t for t in core if len(t) > 1]
     if initials and len(words) == 1:
-        return cls, words, initials[0]
+        return cls, words, initials[0], form
     words = words or ["".join(core)]
     if len(words) == 1 and 4 <= len(words[0]) <= 9 and cls[0] == "C":  # a word and an initial run together: two words are longer
-        return cls, [words[0][:-1]], words[0][-1]
-    return cls, words if len(words) <= 2 else [words[0], "".join(words[1:])], ""
+        return cls, [words[0][:-1]], words[0][-1], form
+    return cls, words if len(words) <= 2 else [words[0], "".join(words[1:])], "", form
 
 
 def _parsed(names: DataFrame) -> DataFrame:
-    """``name, cls, w1, w2, initial`` of distinct names."""
+    """``name, cls, w1, w2, initial, form`` of distinct names."""
 
     def parse(s: pd.Series) -> pd.DataFrame:
-        got = [parse_name(x) for x in s]
-        return pd.DataFrame({"cls": [g[0] for g in got], "w1": [g[1][0] for g in got], "w2": [g[1][1] if len(g[1]) > 1 else None for g in got], "initial": [g[2] for g in got]})
+        got = [_read_name(x) for x in s]
+        return pd.DataFrame({"cls": [g[0] for g in got], "w1": [g[1][0] for g in got], "w2": [g[1][1] if len(g[1]) > 1 else None for g in got], "initial": [g[2] for g in got], "form": [g[3] for g in got]})
 
-    udf = F.pandas_udf(parse, "cls string, w1 string, w2 string, initial string")
-    return names.withColumn("p", udf("name")).select("name", "p.cls", "p.w1", "p.w2", "p.initial")
+    udf = F.pandas_udf(parse, "cls string, w1 string, w2 string, initial string, form string")
+    return names.withColumn("p", udf("name")).select("name", "p.cls", "p.w1", "p.w2", "p.initial", "p.form")
 
 
 def _large(df: DataFrame) -> DataFrame:
@@ -145,6 +154,11 @@ def _pivots(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))))
 
 
+def _wide_pivots(word: Column) -> Column:
+    """The pivots within two deletions of a word."""
+    return F.array_distinct(F.flatten(F.transform(_pivots(word), _pivots)))
+
+
 def _cell_pivots(w1: Column, w2: Column) -> Column:
     """Pivots of a two-word core by each word; of a run-together one by its beginnings and ends."""
     ends = F.flatten(F.transform(F.sequence(F.lit(5), F.lit(9)), lambda n: F.concat(_pivots(F.substring(w1, F.lit(1), n)), _pivots(F.substring(w1, F.greatest(F.length(w1) - n + 1, F.lit(1)), n)))))
@@ -227,8 +241,13 @@ def entity_classes(names: DataFrame, *, name: str = "name", radius: int = 3, sho
     distinct (class, words); cores within ``radius`` of one another in the same class
     are one organisation, transitively.  A name whose second word is an
     initial joins the one organisation of its class with a word within
-    ``short_radius`` of its own and that initial, if there is exactly one nearest;
-    otherwise it keeps to names of its own kind.
+    ``short_radius`` of its own and that initial, if there is exactly one nearest.
+    The others are closed over links within ``short_radius`` among names of the same
+    class and initial; such a group joins the one organisation that its linked
+    names have joined.  If none has, it joins the one nearest organisation at
+    distance 2, if their legal forms agree or the group states none: single words of
+    different organisations lie that near now and then, and at distance 3 mostly.
+    Otherwise it keeps to itself.
     """
     distinct = names.select(F.col(name).cast("string").alias("name")).where("name is not null and trim(name) <> ''").distinct()
     parsed = checkpointed(_parsed(distinct.repartition(max(8, names.sparkSession.sparkContext.defaultParallelism))))
@@ -238,22 +257,46 @@ def entity_classes(names: DataFrame, *, name: str = "name", radius: int = 3, sho
     cores = checkpointed(cores)
     full, short = cores.where("initial = ''"), cores.where("initial <> ''")
     of_full = components(full, radius_links(full, radius=radius))
+    of_short = _place_short(full, short, of_full, parsed.select("id", "form").distinct(), short_radius=short_radius)
+    entity = of_full.unionByName(of_short)
+    return parsed.select("name", "id").join(_large(entity), "id").select("name", F.col("component").alias("entity"))
+
+
+def _one_nearest(tried: DataFrame, key: str) -> DataFrame:
+    """``key, component, d`` of the one component at the least distance; no row for a tie."""
+    best = tried.groupBy(key, "component").agg(F.min("d").alias("d")).groupBy(key).agg(F.min(F.struct("d", "component")).alias("m"), F.collect_list("d").alias("ds"))
+    return best.where(F.expr("size(filter(ds, x -> x = m.d)) = 1")).select(key, "m.component", "m.d")
+
+
+def _place_short(full: DataFrame, short: DataFrame, of_full: DataFrame, forms: DataFrame, *, short_radius: int, wide: int = 2) -> DataFrame:
+    """``id, component`` of the cores with an initial: see ``entity_classes``.  ``forms``: ``id, form``."""
     # initials: nearest word of the class with that initial on the other word
     sides = full.where("w2 is not null").select("id", "cls", F.explode(F.array(F.struct(F.col("w1").alias("word"), F.substring("w2", 1, 1).alias("initial")), F.struct(F.col("w2").alias("word"), F.substring("w1", 1, 1).alias("initial")))).alias("s")).select("id", "cls", "s.word", "s.initial")
-    sides = sides.join(_large(of_full), "id").groupBy("cls", "word", "initial", "component").agg(F.lit(1).alias("one"))
-    pivot_of = lambda df, w: df.withColumn("pivot", F.explode(_pivots(F.col(w))))
-    tried = pivot_of(short.select(F.col("id").alias("sid"), "cls", "initial", F.col("w1").alias("own")), "own").join(_large(pivot_of(sides.drop("one"), "word")), ["cls", "initial", "pivot"]).select("sid", "own", "word", "component").distinct()
+    sides = sides.join(_large(of_full), "id").select("cls", "word", "initial", "component").distinct()
+    pivot_of = lambda df, w: df.withColumn("pivot", F.explode(_wide_pivots(F.col(w))))
+    tried = pivot_of(short.select(F.col("id").alias("sid"), "cls", "initial", F.col("w1").alias("own")), "own").join(_large(pivot_of(sides, "word")), ["cls", "initial", "pivot"]).select("sid", "own", "word", "component").distinct()
 
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([damerau(x, y, short_radius) for x, y in zip(a, b)], dtype="int32")
-
-    tried = tried.withColumn("d", F.pandas_udf(distance, "int")("own", "word")).where(F.col("d") <= short_radius)
-    best = tried.groupBy("sid", "component").agg(F.min("d").alias("d")).groupBy("sid").agg(F.min(F.struct("d", "component")).alias("m"), F.collect_list("d").alias("ds"))
-    best = best.where(F.expr("size(filter(ds, x -> x = m.d)) = 1")).select(F.col("sid").alias("id"), F.col("m.component").alias("component"))
-    left = short.join(_large(best), "id", "left_anti")
-    own = left.select("id", F.xxhash64("cls", "initial", "w1").alias("component"))
-    entity = of_full.unionByName(best).unionByName(own)
-    return parsed.select("name", "id").join(_large(entity), "id").select("name", F.col("component").alias("entity"))
+        return pd.Series([damerau(x, y, max(wide, short_radius)) for x, y in zip(a, b)], dtype="int32")
+
+    tried = tried.withColumn("d", F.pandas_udf(distance, "int")("own", "word"))
+    tried = checkpointed(tried.where((F.col("d") <= short_radius) | ((F.col("d") <= wide) & (F.greatest(F.length("own"), F.length("word")) >= 3 * wide))).select("sid", "component", "d"))
+    near = checkpointed(_one_nearest(tried.where(F.col("d") <= short_radius), "sid").select(F.col("sid").alias("id"), "component"))
+    # the others, closed over their own links
+    kind = short.select("id", F.concat_ws("|", "cls", "initial").alias("cls"), "w1", "w2")
+    left = checkpointed(short.select("id").join(_large(near.select("id")), "id", "left_anti"))
+    links = radius_links(kind, radius=short_radius)
+    links = checkpointed(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(_large(left.select(F.col("id").alias("a"))), "a", "left_semi"))
+    group = components(left, links.join(_large(left.select(F.col("id").alias("b"))), "b", "left_semi")).select("id", F.col("component").alias("grp"))
+    # a group joins the organisation of the names it is linked with, or the nearest of like form
+    known = links.join(_large(near.select(F.col("id").alias("b"), "component")), "b").join(_large(group.withColumnRenamed("id", "a")), "a").groupBy("grp").agg(F.min("component").alias("component"), F.max("component").alias("other"))
+    far = _one_nearest(tried.withColumnRenamed("sid", "id").join(_large(group), "id"), "grp").where(F.col("d") > short_radius).join(_large(known.select("grp")), "grp", "left_anti")
+    stated = group.join(_large(forms), "id").groupBy("grp").agg(F.collect_set(F.nullif("form", F.lit(""))).alias("own"))
+    meant = of_full.join(_large(far.select("component").distinct()), "component", "left_semi").join(_large(forms), "id").groupBy("component").agg(F.collect_set("form").alias("forms"))
+    agreed = far.join(_large(stated), "grp").join(_large(meant), "component").where((F.size("own") == 0) | F.arrays_overlap("own", "forms"))
+    joins = known.where("component = other").select("grp", "component").unionByName(agreed.select("grp", "component"))
+    own = group.join(_large(joins), "grp", "left").select("id", F.coalesce("component", "grp").alias("component"))
+    return near.unionByName(own)
 
 
 def entity_pairs(classes: DataFrame, *, hot: int = 500) -> DataFrame:

@@ -80,3 +80,17 @@ def test_entities_and_edges(spark):
     got = rows(entity_pairs(entity_classes(names), hot=2))
     assert got == sorted([(a, b) for a in same for b in same if a < b], key=lambda r: tuple((False, x) for x in r))
     assert rows(entity_pairs(entity_classes(names.limit(0)))) == []
+
+
+def test_initial_forms(spark):
+    groups = [
+        ["TIGOLOS M. VETERINARY", "Tigools M Veterinary Ltd"],  # no full spelling at all
+        ["Kappader Dofusum Semiconductor Limited", "KAPADR D SEMI LTD"],  # distance 2, same form
+        ["Gonarin Bilutus Steel Company", "GONARIN B STEEL", "Gonaran B. Steel Co", "GONRRAN B. STEEL INC"],  # by way of a linked name
+        ["Goganin Bilutus Telecommunications Company"],
+        ["GONARIN B. TELECOMMUNICATIONS INCORPORATED"],  # distance 2, but another form
+        ["Telisor Malakum Dental Company"],
+        ["TELUSIX M DENTAL COMPANY"],  # distance 3
+    ]
+    names = spark.createDataFrame([(n,) for g in groups for n in g], "name string")
+    assert rows(entity_pairs(entity_classes(names))) == sorted((a, b) for g in groups for a in g for b in g if a < b)
