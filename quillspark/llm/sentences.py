@@ -76,6 +76,43 @@ def document_abbreviations(text: str) -> set[str]:
     return {w for w, n in found.items() if n >= 2 and plain[w] == 0}
 
 
+_INSIDE = re.compile(r"(?:(?<=[^\W\d_])|(?<=[,;]))\s([^\W\d_]+)")
+_PAIR = re.compile(r"(?<![^\s(])([^\W\d_](?:[^\W\d_]|\.(?=[^\W\d_]))*)\.\s+(?=([^\W\d_]+)(?:\W+(\w+))?)")
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def document_names(text: str) -> set[str]:
+    """Words of a document that stand capitalised inside its sentences and never in lower case there.
+
+    Only paragraphs with a stop at their end speak: a heading may capitalise any word.
+    """
+    seen: set[str] = set()
+    at = 0
+    for end in [*(m.start() for m in _EMPTY_LINE.finditer(text)), len(text)]:
+        part = text[at:end].strip()
+        if part and not part[-1].isalnum():
+            seen.update(_INSIDE.findall(part))
+        at = end
+    return {w for w in seen if w[0].isupper() and w.lower() not in seen}
+
+
+def document_pairs(text: str, names: set[str]) -> set[tuple[str, str]]:
+    """Pairs of a word with a period and a name after it that belong together in a document.
+
+    They stand together at least twice before different words, and at least
+    half of all the name's occurrences are these.
+    """
+    after: dict[tuple[str, str], list[str]] = {}
+    for m in _PAIR.finditer(text):
+        if m.group(2) in names:
+            after.setdefault((m.group(1).casefold(), m.group(2)), []).append(m.group(3) or "")
+    often = {pair: n for pair, n in after.items() if len(set(n)) >= 2}
+    if not often:
+        return set()
+    total = Counter(_LETTERS.findall(text))
+    return {pair for pair, n in often.items() if 2 * len(n) >= total[pair[1]]}
+
+
 class Splitter:
     """Splits documents with fixed word lists, the document's own evidence, and the corpus's."""
 
@@ -87,7 +124,7 @@ class Splitter:
         if not text:
             return []
         out: list[tuple[int, int]] = []
-        own: list[set[str] | None] = [None]  # the document's abbreviations, when first needed
+        own: list[set | None] = [None, None, None]  # the document's abbreviations, names and pairs, when first needed
         at = 0
         for m in _EMPTY_LINE.finditer(text):
             self._paragraph(text, at, m.start(), out, own)
@@ -208,8 +245,10 @@ class Splitter:
             return False
         if ch.islower() and not _is_upper_start(text[nxt : nxt + 2]):
             return not (word in REFERENCES or self._known(word, text, own))
-        if ch.isupper() or ch in "\"“«„¿¡「“":
-            return not (word == "reg")
+        if ch.isupper():
+            return not self._leads_name(word, text, nxt, own)
+        if ch in "\"“«„¿¡「“":
+            return True
         if ch.isalpha():  # a script without capitals
             return not (word in ENDING or word in self.corpus)
         return True
@@ -224,6 +263,32 @@ class Splitter:
         return word in own[0] or word in self.corpus
 
 
+    def _leads_name(self, word: str, text: str, nxt: int, own: list) -> bool:
+        """Whether the capital after an abbreviation is that of a proper name that goes with it.
+
+        The document must show the word to be a name.  An abbreviation that may
+        stand at the end of a sentence, too, must be seen to go with it.
+        """
+        if not (word.replace(".", "").isalpha() and self._known(word, text, own)):
+            return False
+        name = _LETTERS.match(text, nxt)
+        if name is None or (low := name.group().casefold()) in TITLES or low in REFERENCES:
+            return False
+        word = word.strip(".")
+        both = word in ENDING or word in REFERENCES
+        if both and text.find(name.group(), nxt + 1) < 0 and text.find(name.group()) == nxt:
+            return False  # met here only
+        if own[1] is None:
+            own[1] = document_names(text)
+        if name.group() not in own[1]:
+            return False
+        if not both:
+            return True
+        if own[2] is None:
+            own[2] = document_pairs(text, own[1])
+        return (word, name.group()) in own[2]
+
+
 _SHORT = r"(?:^|[\s(])(\p{L}[\p{L}.]{0,5})\.\s+"
 
 
@@ -257,6 +322,9 @@ def split_sentences(documents: DataFrame, *, key: str = "doc_id", text: str = "t
     after an abbreviation or initial (fixed lists, the document's own
     unambiguous occurrences, then the corpus's), in an ordinal or number, or before a
     lower-case word that follows one of these; stops inside a quotation are none.
+    A capital after an abbreviation starts no sentence if the document shows its
+    word to be a name; abbreviations that may end a sentence, too, must stand with that
+    name repeatedly.
     NULL and empty texts give no row; repeated documents give theirs each; an
     empty table gives an empty result.  No shuffle but for the corpus counts.
     """

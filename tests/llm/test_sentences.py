@@ -41,6 +41,19 @@ def test_document_evidence():
     assert cut("Buy the fgn. rate or the fgn. price now. Done.") == ["Buy the fgn. rate or the fgn. price now.", "Done."]
 
 
+def test_names_after_abbreviations():
+    doc = ["The fgn. rate and the fgn. price rose.", "We told Smith today.", "It was fgn. Smith who left.", "It was fgn.", "Then we left, and then slept."]
+    assert cut(" ".join(doc)) == doc
+    doc = ["Bonds of the U.S. Treasury rose.", "We told Treasury staff.", "The U.S. Treasury sold.", "It is based in the U.S. Lebulal Corp. moved, said Lebulal."]
+    assert cut(" ".join(doc)) == doc[:3] + ["It is based in the U.S.", "Lebulal Corp. moved, said Lebulal."]
+    assert cut("We met J.R. Smith here. We told Smith today.") == ["We met J.R. Smith here.", "We told Smith today."]
+
+
+def test_corpus_names():
+    text = "We told Smith of the qtl. Smith rate. It was the qtl. The end, the last."
+    assert [text[a:b] for a, b in Splitter(frozenset({"qtl"})).split(text)] == ["We told Smith of the qtl. Smith rate.", "It was the qtl.", "The end, the last."]
+
+
 def test_corpus_fallback(spark):
     docs = spark.createDataFrame([(i, f"See the qtl. rate of day {i}. Then we left the room. Later.") for i in range(9)], "doc_id bigint, text string")
     assert corpus_abbreviations(docs) == ["qtl"]
