@@ -293,6 +293,13 @@ def text_section_density(spark, d):
     return table(spark, d, "documents").select("doc_id", misc.densest_window(F.col("text")).cast("bigint").alias("at"))
 
 
+def text_section_window(spark, d):
+    """The window of each section that a document holds, by heading and figures."""
+    docs = table(spark, d, "documents")
+    found = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(name).alias("section"), misc.section_window(F.col("text"), headings).alias("w")) for name, headings in misc.SECTIONS.items()))).alias("s"))
+    return found.where("s.w is not null").select("doc_id", "s.section", "s.w.*")
+
+
 def visible_text(spark, d):
     """Documents as a reader sees them, by length."""
     return table(spark, d, "documents").select("doc_id", F.length(misc.visible_text(F.col("text"))).alias("shown"))
@@ -326,7 +333,7 @@ def overdue_jobs(spark, d):
     return misc.overdue_jobs(beats, cadence, now="2024-02-05 00:00:00").select("job", "due_every_hours", "overdue")
 
 
-QUERIES = {f.__name__: f for f in (facts_resolve, facts_topline, facts_funnel, coverage_status, coverage_matrix, coverage_drift, unmapped_queue, filer_universe, stopped_filers, latest_per_concept, peer_sets, peer_ladder_outcomes, peer_alternatives, peer_median_value, dcf_values, dcf_substitutions, deal_multiples, deal_identity, sponsors_rollup, sponsors_resolved, plan_year_completeness, trend_matched_plans, review_queue, mature_population, mature_targets, purchase_clusters, superseded_filings, promote_union, promote_gate, merge_latest, upsert_missing_anti, upsert_macro, widen_ranges, price_fate, ticker_owner_count, ticker_routes, macro_latest, macro_change, reconcile_universe, name_norm, cik_norm, accession_norm, json_payload, text_value_extract, text_classify, text_section_density, visible_text, proxy_shape, projection_growth, projection_coherence, dataset_stats, overdue_jobs)}
+QUERIES = {f.__name__: f for f in (facts_resolve, facts_topline, facts_funnel, coverage_status, coverage_matrix, coverage_drift, unmapped_queue, filer_universe, stopped_filers, latest_per_concept, peer_sets, peer_ladder_outcomes, peer_alternatives, peer_median_value, dcf_values, dcf_substitutions, deal_multiples, deal_identity, sponsors_rollup, sponsors_resolved, plan_year_completeness, trend_matched_plans, review_queue, mature_population, mature_targets, purchase_clusters, superseded_filings, promote_union, promote_gate, merge_latest, upsert_missing_anti, upsert_macro, widen_ranges, price_fate, ticker_owner_count, ticker_routes, macro_latest, macro_change, reconcile_universe, name_norm, cik_norm, accession_norm, json_payload, text_value_extract, text_classify, text_section_density, text_section_window, visible_text, proxy_shape, projection_growth, projection_coherence, dataset_stats, overdue_jobs)}
 
 ORACLE_SQL: dict[str, str] = {}
 

@@ -137,6 +137,39 @@ def densest_window(text: Column, *, size: int = 400, least: int = 3) -> Column:
     return F.when(best["n"] >= least, -best["at"] * size)
 
 
+#: Currency amounts, percentages and bare decimals.
+_FIGURE = r"(?U)\$\s?[\d,]+(?:\.\d+)?|\d+(?:\.\d+)?\s?%|\b\d+\.\d{2,4}\b"
+
+#: Headings of each section, the most specific first.
+SECTIONS = {
+    "merger_consideration": (
+        r"(?:right\s+to\s+receive|entitled\s+to\s+receive|consideration\s+of|Per\s+Share\s+Price[^.]{0,30}?is)[^.]{0,90}?(?:\$\s?[\d,]+(?:\.\d+)?|[\d.]{4,7}\s+(?:of\s+a\s+)?share)", r"each\s+(?:issued\s+and\s+outstanding\s+)?share[^.]{0,160}?(?:converted\s+into|entitled\s+to\s+receive)", r"What\s+(?:will\s+I|I\s+will)\s+receive\s+in\s+the\s+[Mm]erger", r"Consideration\s+to\s+be\s+Received", r"(?:The\s+)?Merger\s+Consideration\b",
+    ),
+    "premium_statement": (r"premium\s+of\s+(?:approximately\s+)?[\d.]+\s?%", r"[\d.]+\s?%\s+premium\b", r"represent(?:s|ed|ing)\s+a\s+premium"),
+    "prospective_financial": (r"(?i:(?:Certain\s+)?(?:Unaudited\s+)?Prospective\s+Financial\s+Information)", r"(?i:Management(?:'s)?\s+(?:Projections|Forecasts|Financial\s+Projections))", r"(?i:(?:Internal\s+)?Financial\s+(?:Projections|Forecasts))"),
+    "fairness_opinion": (r"Opinion\s+of\s+[A-Z][^\n]{0,70}?(?:Financial\s+Advisor|&\s*Co\.?|Securities|Partners|LLC|Inc\.)", r"Opinion\s+of\s+the\s+(?:Company|Board)'?s?\s+Financial\s+Advisor"),
+}
+
+
+def section_window(text: Column, headings: Sequence[str], *, size: int = 8000, least: int = 3) -> Column:
+    """``(start, end, heading, figures, candidates)`` of the window of ``size`` characters after a heading that holds most figures, the first of equals.
+
+    The patterns of ``headings`` (none of which matches an empty text) are tried in order; the first with a window of
+    at least ``least`` figures decides.  NULL if none has one.
+    """
+    picks = []
+    for heading in headings:
+        found = F.regexp_extract_all(text, F.lit(f"(?U){heading}"), F.lit(0))
+        between = F.split(text, f"(?U){heading}", -1)
+        total = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+        starts = F.transform(found, lambda m, i: F.struct((total(F.slice(between, 1, i + 1)) + total(F.slice(found, 1, i))).alias("at"), m.alias("m")))
+        scored = F.transform(starts, lambda s: F.struct(F.regexp_count(F.substring(text, s["at"] + 1, F.lit(size)), F.lit(_FIGURE)).alias("n"), (-s["at"]).alias("at"), s["m"].alias("m")))
+        best = F.array_max(scored)
+        title = F.substring(F.trim(F.regexp_replace(best["m"], r"(?U)\s+", " ")), 1, 120)
+        picks.append(F.when(best["n"] >= least, F.struct((-best["at"]).alias("start"), F.least(F.length(text), -best["at"] + size).alias("end"), title.alias("heading"), best["n"].alias("figures"), F.size(found).alias("candidates"))))
+    return F.coalesce(*picks)
+
+
 def consideration_shape(figures: DataFrame) -> DataFrame:
     """One row per filing: how many figures of each kind are stated, and the shape that makes."""
     has = lambda f: F.count_if((F.col("field") == f) & (F.col("reason") == "stated"))

@@ -128,3 +128,16 @@ def test_symbols_and_orders(spark):
     assert [r["id"] for r in sorted_by(x, "v", {"v": [("v", True)]}).collect()] == [3, 2, 1]
     with pytest.raises(ValueError):
         sorted_by(x, "drop table", {"v": [("v", True)]})
+
+
+def test_section_window(spark):
+    figures = "at $1,000.50 or 12 % or 0.6303. "
+    intro = "Projections\n" + "x" * 500  # a heading without figures near it
+    body = "a" * 390 + " Projections " + figures * 2 + "The Forecasts " + figures
+    docs = [intro + body, "é😀 Forecasts: $1, 5%, 1.25", "Forecasts 5% 6%", figures, None, "y" * 398 + " Forecasts $1 2% 3.25" + "z" * 9000 + "Forecasts $1 2% 3.25 4%"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(docs)], "i int, text string")
+    got = {r["i"]: r["w"] and tuple(r["w"]) for r in df.select("i", misc.section_window(F.col("text"), ("Projections", "The\\s+Forecasts|Forecasts")).alias("w")).collect()}
+    at = docs[0].index("Projections", 5)
+    assert got == {0: (0, len(docs[0]), "Projections", 9, 2), 1: (3, len(docs[1]), "Forecasts", 3, 1), 2: None, 3: None, 4: None, 5: (docs[5].rindex("Forecasts"), len(docs[5]), "Forecasts", 4, 2)}
+    near = df.where("i = 0").select(misc.section_window(F.col("text"), ("Projections",), size=300).alias("w")).first()["w"]
+    assert tuple(near) == (at, len(docs[0]), "Projections", 9, 2)  # the dense passage lies across blocks of 400
