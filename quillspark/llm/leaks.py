@@ -69,14 +69,34 @@ class LeakFinder:
             for p in range(len(toks) - n + 1 if n else 0):
                 places[" " + " ".join(toks[p : p + n]) + " "].append((i, p))
         self.automaton = ahocorasick.Automaton()
+        shared: dict[int, set[int]] = defaultdict(set)
+        for at in places.values():
+            if len({i for i, _ in at}) > 1:
+                for i, p in at:
+                    shared[i].add(p)
+        alike = {i for i, at in shared.items() if self._much_shared(i, at)}
         for text, at in places.items():
-            # what many items share is a phrase of the kind of text, no passage of one item
-            if len({i for i, _ in at}) == 1:
+            # what many items share is a phrase of the kind of text, no passage of one item, unless it makes up much of the item
+            if len({i for i, _ in at}) > 1:
+                at = [(i, p) for i, p in at if i in alike]
+            if at:
                 self.automaton.add_word(text, (at, text.count(" ") - 1))
         self.empty = not len(self.automaton)
         if not self.empty:
             self.automaton.make_automaton()
 
+    def _much_shared(self, item: int, at: set[int]) -> bool:
+        """Whether the pieces at these places, found in other items, too, are a share of the item's pieces or hold one in a single run."""
+        mine = self.items[item]
+        n = min(self.piece, len(mine))
+        if len(at) >= self.share * (len(mine) - n + 1):
+            return True
+        most = run = end = 0
+        for p in sorted(at):
+            run = (run if p <= end else 0) + sum(map(len, mine[max(p, end) : p + n]))
+            most, end = max(most, run), p + n
+        return most >= (self.share - self.slack) * self.total[item]
+
     def hits(self, tokens: list[str]) -> dict[int, set[tuple[int, int]]]:
         """(place in item, place in text) of the pieces found, by item; one pass over the text."""
         out: dict[int, set[tuple[int, int]]] = defaultdict(set)
@@ -159,13 +179,14 @@ def leaked_passages(documents: DataFrame, passages: DataFrame, *, doc_key: str =
     The test set is what a person holds out by hand: it is collected once,
     and more than ``most_items`` of it are an error.  Every worker builds one
     automaton over its pieces of five tokens (words; single characters in
-    scripts without spaces) that no other item shares, scans each document
+    scripts without spaces) that no other item shares, or all pieces of an item
+    of which others share so much that a share of it could not be found, scans each document
     once, grows the hits along both texts over changed words, and keeps the
     pairs in which at least ``share`` of the item's letters stands, in one piece or
     several.  There is no shuffle of documents.  Offsets are code points of
     the original text.  NULL and empty texts on either side give nothing;
     repeated documents are reported each; a repeated item id keeps its first
-    text in text order; items of the same text shadow each other's pieces, so
+    text in text order; of items of the same text
     only the least of their ids is searched and its rows are given to all of them.
     """
     rows = passages.select(F.col(item_key).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").groupBy("i").agg(F.min("t").alias("t")).limit(most_items + 1).collect()

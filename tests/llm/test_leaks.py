@@ -45,3 +45,12 @@ def test_tables(spark):
     assert rows(leaked_passages(docs, items).select("doc_id", "item_id")) == [(1, 10), (1, 11), (4, 12), (4, 12)]
     assert rows(leaked_passages(docs.limit(0), items)) == []
     assert rows(leaked_passages(docs, items.limit(0))) == []
+
+
+def test_near_copies_share_pieces():
+    words = [f"word{chr(97 + i)}{chr(97 + 7 * i % 26)}" for i in range(26)]
+    first, second = " ".join(words), " ".join(words[:-1] + ["other"])
+    finder = LeakFinder([(1, first), (2, second)])
+    text = "before it " + " ".join(words[:20]) + " and after it"
+    assert sorted(r[0] for r in finder.find(text)) == [1, 2]
+    assert finder.find("before it " + " ".join(words[:6]) + " and after it") == []  # a mere phrase
