@@ -108,12 +108,16 @@ def _frozen(x: np.ndarray, group: np.ndarray, groups: int, r: SpikeRules) -> np.
     run = _segments(same)
     length = np.bincount(run)[run]
     repeats, total = np.bincount(group, weights=same, minlength=groups)[group], np.bincount(group, minlength=groups)[group]
-    # the rate without the run itself, and without runs that could not be a habit at all
-    longest = np.zeros(groups)
-    np.maximum.at(longest, group, length - 1)
-    rate = np.maximum((repeats - (length - 1)) / np.maximum(total - (length - 1), 1), r.repeat_least)
-    rate = np.minimum(rate, 0.999)
-    return same & (length >= r.frozen_least) & ((length - 1) * np.log(rate) < np.log(r.frozen_risk))
+    # the rate without the run itself, and without long runs that could not be a habit by the rate of the others
+    odd = length >= r.frozen_least
+    while True:
+        gone = np.bincount(group, weights=same & odd, minlength=groups)[group] + np.where(odd, 0, length - 1)
+        rate = np.maximum((repeats - gone) / np.maximum(total - gone, 1), r.repeat_least)
+        rate = np.minimum(rate, 0.999)
+        still = odd & ((length - 1) * np.log(rate) < np.log(r.frozen_risk))
+        if (still == odd).all():
+            return same & odd
+        odd = still
 
 
 def score_series(pdf: pd.DataFrame, r: SpikeRules) -> pd.DataFrame:

@@ -4,7 +4,7 @@ from decimal import Decimal
 import numpy as np
 import pytest
 
-from quillspark.operators.spikes import SpikeRules, distinct_bars, flag_readings
+from quillspark.operators.spikes import SpikeRules, _frozen, distinct_bars, flag_readings
 from tests.conftest import rows
 
 SCHEMA = "ticker string, date date, open decimal(18,6), high decimal(18,6), low decimal(18,6), close decimal(18,6), volume bigint, source string, listing_id date, ingested_at timestamp, z double, row int"
@@ -75,3 +75,17 @@ def test_newest_delivery_with_a_value(spark):
     got = distinct_bars(df).first()
     assert (got["close"], got["volume"]) == (Decimal("1.000000"), 7)
     assert SpikeRules().window > 0
+
+
+def test_several_frozen_runs():
+    x = np.arange(150.0)
+    for at in (20, 60, 100):
+        x[at : at + 8] = x[at]
+    want = np.zeros(150, bool)
+    for at in (20, 60, 100):
+        want[at + 1 : at + 8] = True
+    got = _frozen(x, np.zeros(150, int), 1, SpikeRules())
+    assert (got == want).all()
+    habit = np.repeat(np.arange(15.0), 10)  # repeats of this length are no habit if nothing shorter repeats
+    habit = np.concatenate([np.repeat(np.arange(100.0), 5), 1000 + habit])
+    assert not _frozen(habit, np.zeros(len(habit), int), 1, SpikeRules()).any()  # but they are here
