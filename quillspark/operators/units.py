@@ -228,5 +228,5 @@ def to_canonical(df: DataFrame, *, key: str, kind: str, value: str, unit: str, q
 
     factor = F.pandas_udf(parse, "num long, den long, add long")
     rows = rows.withColumn("f", factor("kind", F.col("v").cast("string"), "u", "q")).where("f.num is not null")
-    whole = F.round((F.col("v") * F.col("f.num").cast("decimal(10,0)") + F.col("f.add")) / F.col("f.den").cast("decimal(10,0)"), 0)
+    whole = F.round((F.col("v") * F.col("f.num").cast("decimal(20,0)") + F.col("f.add")) / F.col("f.den").cast("decimal(20,0)"), 0)
     return rows.select(F.col("k").alias(key), whole.cast("bigint").alias(out))

@@ -35,3 +35,9 @@ def test_rows(spark):
     got = rows(to_canonical(spark.createDataFrame(data, SCHEMA), key="id", kind="kind", value="value", unit="unit", quote="quote"))
     assert got == [(1, 1_500_000), (1, 1_500_000), (4, 2750), (6, 1)]
     assert rows(to_canonical(spark.createDataFrame([], SCHEMA), key="id", kind="kind", value="value", unit="unit", quote="quote")) == []
+
+
+def test_trillions(spark):
+    data = [(1, "usd", Decimal("1.5"), "trillions", None, None, None), (2, "usd", Decimal("0.5"), None, "Revenue 0.5 (in trillions)", None, None), (3, "usd", Decimal("2"), "millions", None, None, None)]
+    got = rows(to_canonical(spark.createDataFrame(data, SCHEMA), key="id", kind="kind", value="value", unit="unit", quote="quote"))
+    assert got == [(1, 1_500_000_000_000), (2, 500_000_000_000), (3, 2_000_000)]
