@@ -159,10 +159,11 @@ def _wide_pivots(word: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(_pivots(word), _pivots)))
 
 
-def _cell_pivots(w1: Column, w2: Column) -> Column:
-    """Pivots of a two-word core by each word; of a run-together one by its beginnings and ends."""
-    ends = F.flatten(F.transform(F.sequence(F.lit(5), F.lit(9)), lambda n: F.concat(_pivots(F.substring(w1, F.lit(1), n)), _pivots(F.substring(w1, F.greatest(F.length(w1) - n + 1, F.lit(1)), n)))))
-    return F.array_distinct(F.when(w2.isNotNull(), F.concat(_pivots(w1), _pivots(w2))).when(F.length(w1) >= 10, F.concat(_pivots(w1), ends)).otherwise(_pivots(w1)))
+def _cell_pivots(w1: Column, w2: Column, lengths: list[int]) -> Column:
+    """Pivots of a two-word core by each word; of a run-together one by its beginnings and ends of the given lengths."""
+    shorter = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n < F.length(w1))
+    ends = F.flatten(F.transform(shorter, lambda n: F.concat(_pivots(F.substring(w1, F.lit(1), n)), _pivots(F.substring(w1, F.length(w1) - n + 1, n)))))
+    return F.array_distinct(F.when(w2.isNotNull(), F.concat(_pivots(w1), _pivots(w2))).otherwise(F.concat(_pivots(w1), ends)))
 
 
 def radius_links(cores: DataFrame, *, radius: int, cell_limit: int = 1000) -> DataFrame:
@@ -178,7 +179,9 @@ def radius_links(cores: DataFrame, *, radius: int, cell_limit: int = 1000) -> Da
     would put a name into most cells: see the README.)  An edit that swaps letters across
     the border of two words counts for both of them; such a pair meets only
     if another word pair is close.  Distance is taken over the
-    words in either order without the space.  A cell of more than
+    words in either order without the space.  A run-together core stands in the cells
+    of its beginnings and ends of the lengths that words of two-word cores have,
+    one more or less.  A cell of more than
     ``cell_limit`` cores is split again by length and by its count of the
     letters a to e, in which cores within the radius differ by no more than
     the radius; boundary cores are replicated there, too, so no pair is lost.
@@ -186,8 +189,11 @@ def radius_links(cores: DataFrame, *, radius: int, cell_limit: int = 1000) -> Da
     if radius > 3:
         raise ValueError("cells cover a radius of at most 3")
     w1, w2 = F.col("w1"), F.col("w2")
-    placed = cores.select("id", "cls", F.concat(w1, F.coalesce(w2, F.lit(""))).alias("fwd"), F.concat(F.coalesce(w2, F.lit("")), w1).alias("rev"), F.explode(_cell_pivots(w1, w2)).alias("pivot"))
-    placed = placed.where(F.length("pivot") >= 3)
+    met = cores.where(w2.isNotNull()).select(F.explode(F.array(F.length(w1), F.length(w2))).alias("n")).distinct().collect()
+    lengths = sorted({n for r in met for n in (r["n"] - 1, r["n"], r["n"] + 1) if n > 0})
+    placed = cores.select("id", "cls", F.concat(w1, F.coalesce(w2, F.lit(""))).alias("fwd"), F.concat(F.coalesce(w2, F.lit("")), w1).alias("rev"), F.explode(_cell_pivots(w1, w2, lengths)).alias("pivot"))
+    # of cores so short that the radius spans a third of them, short pivots would link anything
+    placed = placed.where((F.length("pivot") >= 3) | ((F.length("fwd") >= 3 * radius) & (F.length("pivot") >= 1)))
     sizes = placed.groupBy("cls", "pivot").agg(F.count("*").alias("n"))
     big = sizes.where(F.col("n") > cell_limit).select("cls", "pivot", F.lit(True).alias("big"))
     small = placed.join(_large(sizes.where(F.col("n").between(2, cell_limit)).select("cls", "pivot")), ["cls", "pivot"])

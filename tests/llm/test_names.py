@@ -94,3 +94,10 @@ def test_initial_forms(spark):
     ]
     names = spark.createDataFrame([(n,) for g in groups for n in g], "name string")
     assert rows(entity_pairs(entity_classes(names))) == sorted((a, b) for g in groups for a in g for b in g if a < b)
+
+
+def test_short_and_long_words_meet(spark):
+    pairs = [(("bal", "nokudum"), ("balnokudum", None)), (("kogobenarith", "tel"), ("kogobenariht" + "tel", None)), (("li", "kogobenat"), ("li", "kgoobnat")), (("dafuditolem", "rukasiponeb"), ("dafudtolemrukasiponeb", None))]
+    table = [(2 * k + side, f"c{k}", *core) for k, pair in enumerate(pairs) for side, core in enumerate(pair)] + [(90, "s", "ab", "cd"), (91, "s", "ef", "ab")]
+    df = spark.createDataFrame(table, "id bigint, cls string, w1 string, w2 string")
+    assert rows(radius_links(df, radius=3)) == [(2 * k, 2 * k + 1) for k in range(len(pairs))]
