@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quillspark.llm.names import components, damerau, entity_classes, entity_pairs, parse_name, radius_links
+from quillspark.llm.names import NameReader, components, core_distance, damerau, entity_classes, entity_pairs, learn_words, parse_name, radius_links
 from tests.conftest import rows
 
 
@@ -42,30 +42,74 @@ def test_parts(name, cls, words, initial):
     assert parse_name(name) == (cls, words, initial)
 
 
-def test_links_against_brute_force(spark):
-    rnd = random.Random(5)
-    word = lambda: "".join(rnd.choice("bdfgk") + rnd.choice("aeiou") for _ in range(3)) + rnd.choice("lmn")
-    base = [(word(), word()) for _ in range(25)]
+def near(p, q, radius=3):
+    """By brute force: within the radius, and within an edit for each three letters."""
+    letters = lambda c: sum(len(w) for w in c if w)
+    most = min(radius, max(letters(p), letters(q)) // 3)
+    return core_distance(p, q, 9) <= most
+
 
-    def typo(w):
-        i = rnd.randrange(len(w) - 1)
-        return rnd.choice([w[:i] + w[i + 1 :], w[:i] + rnd.choice("xyz") + w[i:], w[: i] + w[i + 1] + w[i] + w[i + 2 :]])
+def test_core_distance():
+    assert core_distance(("kogoben", "tarit"), ("tarti", "kgoben"), 3) == 2
+    assert core_distance(("kogobentarit", None), ("kogobn", "tarti"), 3) == 2
+    assert core_distance(("tartikogobn", None), ("kogoben", "tarit"), 3) == 2
+    assert core_distance(("ab", "cd"), ("ef", "gh"), 3) == 4
+    assert core_distance(("kestrel", None), ("kastrol", None), 3) == 2
 
-    cores = {(i % 2, *p) for i, p in enumerate(base)} | {(i % 2, typo(a), b) for i, (a, b) in enumerate(base)} | {(i % 2, typo(a), typo(typo(b))) for i, (a, b) in enumerate(base)} | {(i % 2, b, a) for i, (a, b) in enumerate(base)}
-    table = [(k, f"c{c}", a, b) for k, (c, a, b) in enumerate(sorted(cores))]
+
+def test_links_against_brute_force(spark):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("bdfgk") + rnd.choice("aeiou") for _ in range(n)) + rnd.choice("lmn")
+
+    def typo(w, times=1):
+        for _ in range(times):
+            if len(w) > 1:
+                i = rnd.randrange(len(w) - 1)
+                w = rnd.choice([w[:i] + w[i + 1 :], w[:i] + rnd.choice("xyz") + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + rnd.choice("xyz") + w[i + 1 :]])
+        return w
+
+    cores = set()
+    for k in range(25):
+        a, b = word(3), word(3)
+        cores |= {(a, b), (typo(a), b), (typo(a), typo(b, 2)), (b, typo(a, 2)), (a + b, None), (typo(a + b, 3), None), (typo(typo(a) + b, 2), None), (typo(b + a, 2), None)}
+        c, d = word(1)[: 2 + k % 2], word(2 + k % 3)  # short words
+        cores |= {(c, d), (typo(c), d), (c, typo(d, 2)), (d, typo(c)), (c + d, None), (typo(c + d, 2), None), (c, c[::-1]), (typo(c, 2), c)}
+        e = word(k % 3 + 1)  # single words
+        cores |= {(e, None), (typo(e), None), (typo(e, 2), None)}
+        f = word(14)  # long ones
+        cores |= {(f, b), (typo(f), typo(b)), (typo(f + b, 2), None), (typo(f, 3), b), (f, None), (typo(f, 3), None)}
+    cores = sorted((c for c in cores if c[0] and c[1] != ""), key=str)
+    table = [(k, f"c{k % 2 if k % 5 else 0}", a, b) for k, (a, b) in enumerate(cores)]
     df = spark.createDataFrame(table, "id bigint, cls string, w1 string, w2 string")
-    near = lambda p, q: min(damerau(p[2] + p[3], q[2] + q[3], 3), damerau(p[2] + p[3], q[3] + q[2], 3)) <= 3
-    want = sorted((p[0], q[0]) for p in table for q in table if p[0] < q[0] and p[1] == q[1] and near(p, q))
-    whole = sorted(tuple(r) for r in radius_links(df, radius=3).collect())
-    assert set(whole) <= set(want)
-    # all links of which one word pair is at most one edit apart stand in a common cell
-    close = [(p, q) for p in table for q in table if p[0] < q[0] and p[1] == q[1] and near(p, q) and min(damerau(x, y, 3) for x in p[2:] for y in q[2:]) <= 1]
-    assert {(p[0], q[0]) for p, q in close} <= set(whole)
-    assert sorted(tuple(r) for r in radius_links(df, radius=3, cell_limit=2).collect()) == whole  # crowded cells lose nothing
+    want = sorted((p[0], q[0]) for p in table for q in table if p[0] < q[0] and p[1] == q[1] and near(p[2:], q[2:]))
+    assert len(want) > 300
+    assert sorted(tuple(r) for r in radius_links(df, radius=3).collect()) == want
+    assert sorted(tuple(r) for r in radius_links(df, radius=3, cell_limit=2).collect()) == want  # crowded words lose nothing
+    one = sorted((p[0], q[0]) for p in table for q in table if p[0] < q[0] and p[1] == q[1] and near(p[2:], q[2:], 1))
+    assert sorted(tuple(r) for r in radius_links(df, radius=1).collect()) == one
     with pytest.raises(ValueError):
         radius_links(df, radius=4)
 
 
+def test_learned_words(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(3))
+    names = [f"{word()} {word()} {rnd.choice(['Zeppelin', 'Zepp', 'Dental'])} Inc" for _ in range(400)]
+    hot = [f"Hotorg {'Stellar'[:i] + c + 'Stellar'[i:]} Dental" for i in range(7) for c in "abcdefghij"]  # one organisation in many spellings
+    words = learn_words(spark.createDataFrame([(n,) for n in names + hot], "name string"))
+    assert words["zeppelin"] == ("line", "zeppelin") and words["zepp"] == ("line", "zeppelin")
+    assert "hotorg" not in words
+    read = NameReader(words).read
+    assert read("Fanutil Kogoben Zepp Ltd")[0] == read("Fanutil Kogoben Zepelin Ltd")[0] == "C|zeppelin"
+    assert learn_words(spark.createDataFrame([], "name string"), {"a": ("tag", "a")}) == {"a": ("tag", "a")}
+
+
+def test_single_words(spark):
+    same = [["Oracle Corp", "Oracel Corp"], ["Boeing Aviation", "Boeinq Aviation"], ["Kestrel Foods", "Kastrol Foods Inc"], ["Gonarin Bilutus Steel", "GonarinB Steel", "Gonarinb Steel", "GONARIN B. STEEL"], ["Charles Schwab Securities", "Chas. Schwab Securities"]]
+    names = spark.createDataFrame([(n,) for g in same for n in g] + [("Delta Airlines",), ("Delta Software",), ("First Bank",)], "name string")
+    assert rows(entity_pairs(entity_classes(names))) == sorted((a, b) for g in same for a in g for b in g if a < b)
+
+
 def test_components(spark):
     nodes = spark.createDataFrame([(i,) for i in range(12)], "id bigint")
     links = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(10, 11)], "a bigint, b bigint")
