@@ -1,9 +1,10 @@
 """Quantities recorded in different units, brought to one canonical unit each.
 
 A unit expression is parsed by a small grammar into a *factor* (a fraction),
-an *offset*, and a *dimension*, the vector of exponents of (money, share,
-ratio).  A value converts to a target unit if the dimensions agree; the
-target names its own factor and dimension.
+an *offset*, and a *dimension*, the vector of exponents of (US dollar, share,
+ratio, other currency).  A value converts to a target unit if the dimensions agree; the
+target names its own factor and dimension.  Amounts of another currency have another
+dimension than dollars and convert to none of the targets.
 """
 
 from __future__ import annotations
@@ -18,11 +19,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MONEY, SHARE, RATIO = (1, 0, 0), (0, 1, 0), (0, 0, 1)
+Dim = tuple[int, int, int, int]
+MONEY: Dim = (1, 0, 0, 0)
+RATIO: Dim = (0, 0, 1, 0)
+FOREIGN: Dim = (0, 0, 0, 1)
 
 # The words of the grammar.
 SCALES = {"thousand": 10**3, "thousands": 10**3, "k": 10**3, "000": 10**3, "000s": 10**3, "million": 10**6, "millions": 10**6, "m": 10**6, "mm": 10**6, "mn": 10**6, "mil": 10**6, "mill": 10**6, "mln": 10**6, "billion": 10**9, "billions": 10**9, "b": 10**9, "bn": 10**9, "bln": 10**9, "trillion": 10**12, "trillions": 10**12, "tn": 10**12}
 CURRENCY = {"$", "us$", "usd", "dollar", "dollars"}
+OTHER_CURRENCIES = {"eur", "euro", "euros", "€", "gbp", "£", "sterling", "cad", "c$", "canadian", "aud", "a$", "australian", "nz$", "nzd", "hk$", "hkd", "s$", "sgd", "nt$", "r$", "brl", "jpy", "yen", "¥", "cny", "rmb", "yuan", "renminbi", "chf", "francs", "inr", "₹", "rupees", "krw", "₩", "won", "mxn", "pesos", "sek", "nok", "dkk", "kronor", "kroner", "ils", "zar"}
+TIMES = {"times", "multiple"}
 CENTS = {"cent", "cents", "c", "¢"}
 SHARES = {"share", "shares", "sh"}
 PERCENT = {"%", "percent", "pct", "percentage"}
@@ -39,18 +45,18 @@ class Unit:
     """factor * x + offset gives the amount in base units (dollars, shares, ratio) of ``dim``."""
 
     factor: Fraction
-    dim: tuple[int, int, int]
+    dim: Dim
     offset: Fraction = Fraction(0)
 
 
 #: Canonical target per kind of quantity: (factor of one target unit, dimension, what a bare scale means).
 TARGETS = {
     "usd": Unit(Fraction(1), MONEY),
-    "usd_per_share": Unit(Fraction(1, 10_000), (1, -1, 0)),
+    "usd_per_share": Unit(Fraction(1, 10_000), (1, -1, 0, 0)),
     "ratio": Unit(Fraction(1, 10_000), RATIO),
 }
 
-_TOKEN = re.compile(r"us\$|[$%¢/()\[\],;:|]|\n|--|#|[a-z]+|\d[\d,]*(?:\.\d+)?|'")
+_TOKEN = re.compile(r"us\$|(?<![a-z])(?:hk|nt|nz|[acrs])\$|[$%¢€£¥₹₩/()\[\],;:|]|\n|--|#|[a-z]+|\d[\d,]*(?:\.\d+)?|'")
 
 
 def _tokens(text: str) -> list[str]:
@@ -90,9 +96,13 @@ def _per_share(toks: list[str]) -> Fraction | None:
     return None
 
 
-def _build(scale: int | None, money: bool, cents: bool, percent: bool, basis: bool, fraction: bool, per: Fraction | None, kind: str) -> Unit | None:
+def _build(scale: int | None, money: bool, cents: bool, percent: bool, basis: bool, fraction: bool, per: Fraction | None, kind: str, *, foreign: bool = False, times: bool = False) -> Unit | None:
     """The unit of what an expression holds, read for a quantity of ``kind``; None if it states none."""
+    if foreign and kind != "ratio":
+        return Unit(Fraction(scale or 1), FOREIGN)
     if kind == "ratio":
+        if times:  # so many times the price, of which a premium is what goes beyond one
+            return Unit(Fraction(1), RATIO, Fraction(-1))
         if basis:
             return Unit(Fraction(1, 10_000), RATIO)
         if percent:
@@ -102,7 +112,7 @@ def _build(scale: int | None, money: bool, cents: bool, percent: bool, basis: bo
         return None
     factor = Fraction(scale or 1) * (Fraction(1, 100) if cents else 1)
     if kind == "usd_per_share":
-        return Unit(factor / (per or 1), (1, -1, 0)) if money or cents or per else None
+        return Unit(factor / (per or 1), (1, -1, 0, 0)) if money or cents or per else None
     return Unit(factor, MONEY)
 
 
@@ -118,7 +128,7 @@ def parse_unit(text: str | None, kind: str) -> Unit | None:
     scale = next((SCALES[t] for t in toks if t in SCALES), None)
     per = _per_share(toks)
     whole = bool(words & WHOLE)
-    return _build(scale, bool(words & CURRENCY) or whole, bool(words & CENTS), bool(words & PERCENT), bool(words & BASIS), bool(words & FRACTIONS), per, kind)
+    return _build(scale, bool(words & CURRENCY) or whole, bool(words & CENTS), bool(words & PERCENT), bool(words & BASIS), bool(words & FRACTIONS), per, kind, foreign=bool(words & OTHER_CURRENCIES), times=bool(words & TIMES))
 
 
 _NUMBER = re.compile(r"\d[\d,]*(?:\.\d+)?")
@@ -129,12 +139,14 @@ def _parse_quote(text: str, kind: str) -> Unit | None:
     """The unit that a quote states; the row's own figure is written '#' in it."""
     toks = _tokens(text)
     at = toks.index("#") if "#" in toks else -1
-    scale = money = cents = percent = basis = fraction = None
+    scale = money = cents = percent = basis = fraction = foreign = times = None
     per = None
     if at >= 0:  # what stands at the figure itself
         nxt = toks[at + 1] if at + 1 < len(toks) else ""
         money = at > 0 and toks[at - 1] in CURRENCY or nxt in CURRENCY
         scale = SCALES.get(nxt)
+        foreign = at > 0 and toks[at - 1] in OTHER_CURRENCIES or bool({nxt, *(toks[at + 2 : at + 3] if scale else ())} & OTHER_CURRENCIES)
+        times = nxt in TIMES
         cents = nxt in CENTS
         percent, basis = nxt in PERCENT, nxt in BASIS
         if scale and at + 2 < len(toks):
@@ -142,9 +154,9 @@ def _parse_quote(text: str, kind: str) -> Unit | None:
         fraction = bool(set(toks) & FRACTIONS)
         per = _per_share(toks)
     if kind != "usd":
-        return _build(scale, money, cents, percent, basis, bool(fraction), per if money or cents else None, kind)
-    if scale:
-        return _build(scale, True, cents, False, False, False, None, kind)
+        return _build(scale, money, cents, percent, basis, bool(fraction), per if money or cents else None, kind, foreign=bool(foreign), times=bool(times))
+    if scale or foreign:
+        return _build(scale, True, cents, False, False, False, None, kind, foreign=bool(foreign))
     # else a header clause: the clause that has a scale or names whole dollars
     clauses, clause = [], []
     for t in toks:
@@ -165,7 +177,9 @@ def _parse_quote(text: str, kind: str) -> Unit | None:
                 continue  # 'shares in thousands'
             if words & SHARES and "in" in clause[:stated]:
                 continue
-            return Unit(Fraction(SCALES[clause[stated]]), MONEY)
+            return Unit(Fraction(SCALES[clause[stated]]), FOREIGN if words & OTHER_CURRENCIES else MONEY)
+        if words & OTHER_CURRENCIES and ("in" in words or "rounded" in words or words & WHOLE):
+            return Unit(Fraction(1), FOREIGN)
         if words & CURRENCY and ("in" in words or "rounded" in words or words & WHOLE):
             return Unit(Fraction(1), MONEY)
     return Unit(Fraction(1), MONEY) if money else None
@@ -203,7 +217,8 @@ def to_canonical(df: DataFrame, *, key: str, kind: str, value: str, unit: str, q
     ``kind`` names a column with 'usd', 'usd_per_share' or 'ratio'; the
     canonical units are whole dollars, hundredths of a cent per share, and
     basis points; halves round away from zero.  Rows whose unit neither column
-    states (or that it does not fit the kind's dimension) and rows with a NULL
+    states (or that it does not fit the kind's dimension, as that of another currency), rows whose
+    value in the canonical unit exceeds 64 bits and rows with a NULL
     value give no row; a repeated row gives its result again; an empty table
     an empty result.  The grammar runs once per Arrow batch in Python on the
     text columns, with a cache by quote shape; the arithmetic is the JVM's.
@@ -211,22 +226,20 @@ def to_canonical(df: DataFrame, *, key: str, kind: str, value: str, unit: str, q
     rows = df.select(F.col(key).alias("k"), F.col(kind).alias("kind"), F.col(value).cast("decimal(28,6)").alias("v"), F.col(unit).cast("string").alias("u"), F.col(quote).cast("string").alias("q")).where("v is not null")
 
     def parse(kinds: pd.Series, values: pd.Series, units: pd.Series, quotes: pd.Series) -> pd.DataFrame:
-        num, den, add = [], [], []
+        out = []
         for k, v, u, q in zip(kinds, values, units, quotes):
             got = stated_unit(u, q, v, k) if k in TARGETS else None
-            if got is None or got.dim != TARGETS[k].dim:
-                num.append(None)
-                den.append(None)
-                add.append(None)
-            else:
+            row = (None, None, None)
+            if got is not None and got.dim == TARGETS[k].dim:
                 f, offset = got.factor / TARGETS[k].factor, (got.offset - TARGETS[k].offset) / TARGETS[k].factor
-                num.append(f.numerator)
-                den.append(f.denominator * offset.denominator)
-                num[-1] *= offset.denominator
-                add.append(offset.numerator * f.denominator)
-        return pd.DataFrame({"num": pd.array(num, "Int64"), "den": pd.array(den, "Int64"), "add": pd.array(add, "Int64")})
+                exact = (f.numerator * offset.denominator, f.denominator * offset.denominator, offset.numerator * f.denominator)
+                row = exact if max(map(abs, exact)) < 2**63 else row
+            out.append(row)
+        return pd.DataFrame({c: pd.array([r[i] for r in out], "Int64") for i, c in enumerate(("num", "den", "add"))})
 
     factor = F.pandas_udf(parse, "num long, den long, add long")
     rows = rows.withColumn("f", factor("kind", F.col("v").cast("string"), "u", "q")).where("f.num is not null")
-    whole = F.round((F.col("v") * F.col("f.num").cast("decimal(20,0)") + F.col("f.add")) / F.col("f.den").cast("decimal(20,0)"), 0)
-    return rows.select(F.col("k").alias(key), whole.cast("bigint").alias(out))
+    part = lambda c: F.col(f"f.{c}").cast("decimal(20,0)")
+    whole = F.round(F.try_divide(F.try_add(F.try_multiply(F.col("v"), part("num")), part("add")), part("den")), 0)
+    rows = rows.select(F.col("k").alias(key), whole.alias("c")).where(F.col("c").between(-(2**63), 2**63 - 1))
+    return rows.select(key, F.col("c").cast("bigint").alias(out))

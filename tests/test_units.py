@@ -41,3 +41,13 @@ def test_trillions(spark):
     data = [(1, "usd", Decimal("1.5"), "trillions", None, None, None), (2, "usd", Decimal("0.5"), None, "Revenue 0.5 (in trillions)", None, None), (3, "usd", Decimal("2"), "millions", None, None, None)]
     got = rows(to_canonical(spark.createDataFrame(data, SCHEMA), key="id", kind="kind", value="value", unit="unit", quote="quote"))
     assert got == [(1, 1_500_000_000_000), (2, 500_000_000_000), (3, 2_000_000)]
+
+
+def test_other_currencies_and_offsets(spark):
+    data = [
+        (1, "usd", Decimal("5"), "EUR millions", None, None, None), (2, "usd", Decimal("5"), "GBP thousands", None, None, None), (3, "usd", Decimal("5"), "millions", "Revenue of €5 million in fiscal 2020", None, None), (4, "usd", Decimal("5"), "millions", "(in millions of euros) Revenue 5", None, None),
+        (5, "usd", Decimal("5"), "EUR millions", "Revenue of $5 million in fiscal 2020", None, None), (6, "usd_per_share", Decimal("5"), "C$ per share", None, None, None), (7, "usd_per_share", Decimal("5"), "$ millions per share", None, None, None), (8, "usd", Decimal("5"), "Canadian dollars, in thousands", None, None, None),
+        (9, "ratio", Decimal("1.27"), "times the closing price", None, None, None), (10, "ratio", Decimal("1.5"), None, "a price of 1.5 times the last close", None, None), (11, "usd", Decimal("5"), "US$ millions", None, None, None),
+    ]
+    got = rows(to_canonical(spark.createDataFrame(data, SCHEMA), key="id", kind="kind", value="value", unit="unit", quote="quote"))
+    assert got == [(10, 5000), (11, 5_000_000), (5, 5_000_000), (7, 50_000_000_000), (9, 2700)]
