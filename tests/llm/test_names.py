@@ -69,7 +69,7 @@ def test_links_against_brute_force(spark):
         return w
 
     cores = set()
-    for k in range(25):
+    for k in range(9):
         a, b = word(3), word(3)
         cores |= {(a, b), (typo(a), b), (typo(a), typo(b, 2)), (b, typo(a, 2)), (a + b, None), (typo(a + b, 3), None), (typo(typo(a) + b, 2), None), (typo(b + a, 2), None)}
         c, d = word(1)[: 2 + k % 2], word(2 + k % 3)  # short words
@@ -82,7 +82,7 @@ def test_links_against_brute_force(spark):
     table = [(k, f"c{k % 2 if k % 5 else 0}", a, b) for k, (a, b) in enumerate(cores)]
     df = spark.createDataFrame(table, "id bigint, cls string, w1 string, w2 string")
     want = sorted((p[0], q[0]) for p in table for q in table if p[0] < q[0] and p[1] == q[1] and near(p[2:], q[2:]))
-    assert len(want) > 300
+    assert len(want) > 100
     assert sorted(tuple(r) for r in radius_links(df, radius=3).collect()) == want
     assert sorted(tuple(r) for r in radius_links(df, radius=3, cell_limit=2).collect()) == want  # crowded words lose nothing
     one = sorted((p[0], q[0]) for p in table for q in table if p[0] < q[0] and p[1] == q[1] and near(p[2:], q[2:], 1))
