@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 PIECE = 5
 #: Characters that show nothing.
 _INVISIBLE = dict.fromkeys([0x00AD, 0x034F, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF])
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,40}>")
+_TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9:-]*(?:[\s/][^<>]*)?>")
 _TAG_OR_HIDDEN = re.compile(r"[<­͏؜᠎​-‏‪-‮⁠-⁤﻿]")
 _MARKS = re.compile(r"[̀-ͯ]+")
 _IN_NUMBER = re.compile(r"(?<=[0-9])[.,](?=[0-9])")
@@ -57,10 +58,10 @@ def tokens_with_offsets(text: str) -> tuple[list[str], list[tuple[int, int]]]:
 class LeakFinder:
     """One automaton over the pieces of all test items, and the alignment of what it hits."""
 
-    def __init__(self, items: list[tuple[int, str]], *, piece: int = PIECE, share: float = 1 / 3, slack: float = 0.03):
+    def __init__(self, items: list[tuple[int, str]], *, piece: int = PIECE, share: float = 1 / 3):
         import ahocorasick
 
-        self.share, self.slack, self.piece = share, slack, piece
+        self.share, self.piece = share, piece
         self.items = {i: tokens_of(t) for i, t in items}
         self.total = {i: sum(map(len, t)) for i, t in self.items.items()}
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
@@ -68,18 +69,16 @@ class LeakFinder:
             n = min(piece, len(toks))
             for p in range(len(toks) - n + 1 if n else 0):
                 places[" " + " ".join(toks[p : p + n]) + " "].append((i, p))
-        self.automaton = ahocorasick.Automaton()
         shared: dict[int, set[int]] = defaultdict(set)
         for at in places.values():
             if len({i for i, _ in at}) > 1:
                 for i, p in at:
                     shared[i].add(p)
-        alike = {i for i, at in shared.items() if self._much_shared(i, at)}
-        for text, at in places.items():
-            # what many items share is a phrase of the kind of text, no passage of one item, unless it makes up much of the item
-            if len({i for i, _ in at}) > 1:
-                at = [(i, p) for i, p in at if i in alike]
-            if at:
+        #: Places of an item's pieces that other items have, too, unless the item is much shared.
+        self.common = {i: at for i, at in shared.items() if not self._much_shared(i, at)}
+        self.automaton = ahocorasick.Automaton()
+        for text, at in places.items():  # a piece stands for all the places it has, in one item or several
+            if at := [(i, p) for i, p in at if p not in self.common.get(i, ())]:
                 self.automaton.add_word(text, (at, text.count(" ") - 1))
         self.empty = not len(self.automaton)
         if not self.empty:
@@ -95,7 +94,7 @@ class LeakFinder:
         for p in sorted(at):
             run = (run if p <= end else 0) + sum(map(len, mine[max(p, end) : p + n]))
             most, end = max(most, run), p + n
-        return most >= (self.share - self.slack) * self.total[item]
+        return most >= 0.9 * self.share * self.total[item]
 
     def hits(self, tokens: list[str]) -> dict[int, set[tuple[int, int]]]:
         """(place in item, place in text) of the pieces found, by item; one pass over the text."""
@@ -160,48 +159,67 @@ class LeakFinder:
         if not text:
             return []
         tokens = tokens_of(text)
+        found = self._shares(tokens)
+        if not found:
+            return []
+        mapped, spans = tokens_with_offsets(text)
+        if mapped != tokens:  # one letter's form depends on the next in some scripts
+            found = self._shares(mapped)
+        return [(item, share, spans[lo][0], spans[hi][1]) for item, share, lo, hi in found]
+
+    def _shares(self, tokens: list[str]) -> list[tuple[int, float, int, int]]:
+        """(item, share, first token, last token) of the items of which enough stands in a text."""
         out = []
-        spans: list[tuple[int, int]] | None = None
         for item, hits in self.hits(tokens).items():
             share, lo, hi = self.covered(item, hits, tokens)
-            if share >= self.share - self.slack:
-                if spans is None:
-                    mapped, spans = tokens_with_offsets(text)
-                    if len(mapped) != len(tokens):
-                        spans = [(0, len(text))] * len(tokens)
-                out.append((item, share, spans[lo][0], spans[hi][1]))
+            if share >= self.share:
+                out.append((item, share, lo, hi))
         return out
 
 
-def leaked_passages(documents: DataFrame, passages: DataFrame, *, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = 1 / 3, most_items: int = 200_000) -> DataFrame:
+#: Automata of this worker process, by the test set they were built for.
+_FINDERS: dict[str, LeakFinder] = {}
+
+
+def leaked_passages(documents: DataFrame, passages: DataFrame, *, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = 1 / 3, most_items: int = 200_000, most_letters: int = 100_000_000) -> DataFrame:
     """``doc_key, item_key, share DOUBLE, leak_start INT, leak_end INT`` of passages in documents.
 
     The test set is what a person holds out by hand: it is collected once,
-    and more than ``most_items`` of it are an error.  Every worker builds one
-    automaton over its pieces of five tokens (words; single characters in
-    scripts without spaces) that no other item shares, or all pieces of an item
-    of which others share so much that a share of it could not be found, scans each document
+    and more than ``most_items`` or ``most_letters`` of it are an error.  Every worker process builds one
+    automaton over all its pieces of five tokens (words; single characters in
+    scripts without spaces), each with every item and place that has it, scans each document
     once, grows the hits along both texts over changed words, and keeps the
     pairs in which at least ``share`` of the item's letters stands, in one piece or
-    several.  There is no shuffle of documents.  Offsets are code points of
+    several.  Pieces that other items share, too, are the build of a sentence and start no hit, though hits grow over
+    them; but if they make up a passage that could be a leak of the item (a share of its
+    pieces, or nearly of its letters in a run), they do, and a text with that passage leaks each of
+    the items that have it.  There is no shuffle of documents.  Offsets are code points of
     the original text.  NULL and empty texts on either side give nothing;
     repeated documents are reported each; a repeated item id keeps its first
     text in text order; of items of the same text
     only the least of their ids is searched and its rows are given to all of them.
     """
-    rows = passages.select(F.col(item_key).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").groupBy("i").agg(F.min("t").alias("t")).limit(most_items + 1).collect()
-    if len(rows) > most_items:
-        raise ValueError(f"more than {most_items} test items")
+    wanted = passages.select(F.col(item_key).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").groupBy("i").agg(F.min("t").alias("t"))
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("letters")).first()
+    if size["n"] > most_items or size["letters"] > most_letters:
+        raise ValueError(f"{size['n']} test items of {size['letters']} letters; at most {most_items} of {most_letters}")
     same: dict[str, list[int]] = defaultdict(list)
-    for r in sorted(rows, key=lambda r: r["i"]):
-        same[" ".join(tokens_of(r["t"]))].append(r["i"])
-    items = [(ids[0], t) for t, ids in same.items() if t]
+    first: dict[str, str] = {}
+    for r in sorted(wanted.collect(), key=lambda r: r["i"]):
+        plain = " ".join(tokens_of(r["t"]))
+        same[plain].append(r["i"])
+        first.setdefault(plain, r["t"])
+    items = [(ids[0], first[t]) for t, ids in same.items() if t]
     twins = {ids[0]: ids for t, ids in same.items() if t}
     shared = documents.sparkSession.sparkContext.broadcast((items, twins))
+    built_for = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items, twins = shared.value
-        finder = LeakFinder(items, share=share)
+        if built_for not in _FINDERS:
+            _FINDERS.clear()
+            _FINDERS[built_for] = LeakFinder(items, share=share)
+        finder = _FINDERS[built_for]
         for pdf in batches:
             out = [(k, twin, s, a, b) for k, t in zip(pdf["k"], pdf["t"]) for i, s, a, b in finder.find(t) for twin in twins[i]]
             yield pd.DataFrame(out, columns=["k", "i", "share", "leak_start", "leak_end"]).astype({"k": "int64", "i": "int64", "share": "float64", "leak_start": "int32", "leak_end": "int32"})

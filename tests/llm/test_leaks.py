@@ -1,3 +1,5 @@
+import pytest
+
 from quillspark.llm.leaks import LeakFinder, leaked_passages, tokens_of, tokens_with_offsets
 from tests.conftest import rows
 
@@ -54,3 +56,24 @@ def test_near_copies_share_pieces():
     text = "before it " + " ".join(words[:20]) + " and after it"
     assert sorted(r[0] for r in finder.find(text)) == [1, 2]
     assert finder.find("before it " + " ".join(words[:6]) + " and after it") == []  # a mere phrase
+
+
+def test_shared_context():
+    context = "The harbour ledger of Teluso lists nineteen barges, forty crates of lamp oil and a clerk named Budovan who signed for all of them in June."
+    finder = LeakFinder([(1, context + " How many barges does the ledger list?"), (2, context + " Who signed for the lamp oil that came in June?")])
+    found = finder.find("Some words first. " + context + " Some words after.")
+    text = "Some words first. " + context + " Some words after."
+    assert sorted(r[0] for r in found) == [1, 2]
+    assert all(text[a:b] == context.rstrip(".") and share > 0.6 for _, share, a, b in found)
+
+
+def test_long_tags_and_comparisons():
+    assert tokens_of("one <span " + 'style="x" ' * 40 + ">two</span> a < b and c > d") == ["one", "two", "a", "b", "and", "c", "d"]
+
+
+def test_limits(spark):
+    docs = spark.createDataFrame([(1, ITEM)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, ITEM), (2, OTHER)], "item_id bigint, text string")
+    for limit in ({"most_items": 1}, {"most_letters": 10}):
+        with pytest.raises(ValueError):
+            leaked_passages(docs, items, **limit)
