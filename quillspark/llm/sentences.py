@@ -24,6 +24,13 @@ ENDING = set("a.m p.m p.a u.s u.k e.u u.n n.v l.p b.v s.a a.g l.l.c p.l.c s.p.a
 GOES_ON = ("但", "可是", "不过", "然而", "而", "却", "しかし", "だが", "けれど", "でも", "が、", "पर ", "लेकिन", "मगर", "किन्तु", "परंतु", "لكن", "ولكن", "غير أن", "إلا أن", "แต่")
 #: Nouns that follow a German ordinal.
 ORDINAL_NOUNS = set("januar jänner februar märz april mai juni juli august september oktober november dezember quartal quartals halbjahr halbjahres jahr jahrhundert tag woche monat auflage sitzung kapitel abschnitt stock mal".split())
+#: Words of grammar: with a capital they are no names, so they start a sentence.
+STARTERS = set(
+    "a an the this that these those it its he she they we you i his her their our my there here who what when where which why how if as at in on of to by for from with and but or so nor yet after before since until while once under over between both all each every some any no not then thus also however although because such"
+    " der die das ein eine er sie es wir ihr im in am auf aus bei mit nach von zu und aber oder doch wenn als dass da für über unter vor seit bis so nur noch auch dies diese dieser jede jeder"
+    " le la les un une des il elle on nous vous ils elles ce cet cette ces dans en au aux sur sous par pour avec sans et mais ou donc car si quand que qui dont selon après avant depuis"
+    " el los las una unos unas ella ellos ellas nosotros este esta estos estas ese esa eso en al del por para con sin y pero o si cuando que quien según tras desde hasta hacia".split()
+)
 
 _EMPTY_LINE = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _STOP = r"[.!?…؟۔।॥。！？｡]"
@@ -161,7 +168,13 @@ class Splitter:
                 start = end
                 while start < hi and text[start].isspace():
                     start += 1
-        thai = [m.start() for m in _THAI_GAP.finditer(text, lo, hi) if not any(a < m.start() < b for a, b in spans)] if "฀" <= max(text[lo:hi]) else []
+        thai: list[int] = []
+        k = 0
+        for m in _THAI_GAP.finditer(text, lo, hi) if "฀" <= max(text[lo:hi]) else ():
+            while k < len(spans) and spans[k][1] <= m.start():
+                k += 1
+            if k == len(spans) or m.start() <= spans[k][0]:
+                thai.append(m.start())
         begin = lo
         for cut in sorted({*cuts, *thai}):
             self._emit(text, begin, cut, out)
@@ -197,7 +210,7 @@ class Splitter:
             leads = not text[start : span[0]].strip()
             if leads and not (ch.isupper() or ch in "\"“«„¿¡「“" and gap):
                 return False  # the words after it say who speaks
-            return gap or not ch.isupper() or True
+            return True
         if ch in ",;:，、；：،؛)]）":
             return False
         cased = ch.isupper() or ch.islower()
@@ -266,7 +279,9 @@ class Splitter:
     def _leads_name(self, word: str, text: str, nxt: int, own: list) -> bool:
         """Whether the capital after an abbreviation is that of a proper name that goes with it.
 
-        The document must show the word to be a name.  An abbreviation that may
+        After an abbreviation that only the document or the corpus shows, a capital is
+        that of a name unless the document has the word in lower case or it is one of grammar.  Else the document must
+        show the word to be a name, and an abbreviation that may
         stand at the end of a sentence, too, must be seen to go with it.
         """
         if not (word.replace(".", "").isalpha() and self._known(word, text, own)):
@@ -276,6 +291,9 @@ class Splitter:
             return False
         word = word.strip(".")
         both = word in ENDING or word in REFERENCES
+        if not both and word not in TITLES and word not in BOUND and "." not in word and len(word) > 1:
+            # an abbreviation by evidence alone: what follows is a name unless it is shown, or by grammar bound, to be a common word
+            return low not in STARTERS and re.search(rf"(?<!\w){re.escape(low)}(?!\w)", text) is None
         if both and text.find(name.group(), nxt + 1) < 0 and text.find(name.group()) == nxt:
             return False  # met here only
         if own[1] is None:
@@ -343,8 +361,3 @@ def split_sentences(documents: DataFrame, *, key: str = "doc_id", text: str = "t
 
     rows = documents.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).where("t is not null")
     return rows.mapInPandas(run, "k long, sent_start int, sent_end int").withColumnRenamed("k", key)
-
-
-def normalise_spaces(text: str) -> str:
-    """NFC with single spaces; used by tests to compare sentences."""
-    return " ".join(unicodedata.normalize("NFC", text).split())

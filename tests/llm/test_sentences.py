@@ -49,6 +49,18 @@ def test_names_after_abbreviations():
     assert cut("We met J.R. Smith here. We told Smith today.") == ["We met J.R. Smith here.", "We told Smith today."]
 
 
+def test_abbreviations_by_evidence():
+    doc = ["The Cmdr. said no.", "Later the Cmdr. was seen.", "Then Cmdr. Smith came."]
+    assert cut(" ".join(doc)) == doc
+    doc = ["The Cmdr. said no.", "Later the Cmdr. was seen.", "We met the Cmdr.", "Seeing him was rare, and seeing her, too.", "We met the Cmdr.", "The end."]
+    assert cut(" ".join(doc)) == doc
+
+
+def test_thai_gaps_and_quotations():
+    text = "บริษัท ลงนามแล้ว \"แผน นี้ มี\" สมาชิก"
+    assert "\"แผน นี้ มี\"" in cut(text)[-2] + cut(text)[-1]
+
+
 def test_corpus_names():
     text = "We told Smith of the qtl. Smith rate. It was the qtl. The end, the last."
     assert [text[a:b] for a, b in Splitter(frozenset({"qtl"})).split(text)] == ["We told Smith of the qtl. Smith rate.", "It was the qtl.", "The end, the last."]
