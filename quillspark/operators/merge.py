@@ -4,24 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.quality import QualityError, assert_columns
 
 
-def merge_latest(stored: DataFrame, staged: DataFrame, *, keys: Sequence[str], order: Sequence[Column], drop: Column | None = None) -> DataFrame:
-    """Stored and staged rows, one per key: the first by ``order``; rows that meet ``drop`` go first.
+def merge_latest(stored: DataFrame, staged: DataFrame, *, keys: Sequence[str], newest: Sequence[str], drop: Column | None = None) -> DataFrame:
+    """Stored and staged rows, one per key: the greatest by ``newest`` and then by all other columns; rows that meet ``drop`` go first.
 
     Columns go by name; a staged column that the store lacks, or the other way round, is an error.
-    ``order`` should be total, else ties are arbitrary.
+    NULL is less than any value.  The fold has a map-side part, so a key delivered very often does not gather its copies in one task.
     """
     if sorted(stored.columns) != sorted(staged.columns):
         raise QualityError(f"columns differ: {sorted(set(stored.columns) ^ set(staged.columns))}")
     rows = stored.unionByName(staged)
     if drop is not None:
         rows = rows.where(~F.coalesce(drop, F.lit(False)))
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+    rest = [c for c in rows.columns if c not in keys]
+    order = [*newest, *(c for c in rest if c not in newest)]
+    folded = rows.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_row"))
+    return folded.select(*(F.col(c) if c in keys else F.col(f"_row.{c}") for c in stored.columns))
 
 
 def insert_missing(stored: DataFrame, staged: DataFrame, *, keys: Sequence[str]) -> DataFrame:
@@ -63,12 +66,15 @@ def assert_no_shrink(old_rows: int, new_rows: int, *, restate: bool = False) ->
 def publish_partition(spark, merged: DataFrame, path: str, *, restate: bool = False) -> int:
     """Write a merged partition beside the old one, check it, and swap it in; returns its rows.
 
-    Uses the file system of ``path`` (any that Hadoop knows), so it works on shared storage.
+    Uses the file system of ``path`` (any that Hadoop knows), so it works on shared storage.  The old
+    partition is renamed before the new one takes its place, and deleted last; a run that dies in
+    between leaves it beside the target (``recover_partition``, called first here).
     """
     jvm = spark.sparkContext._jvm
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     target, temp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + "._staged")
     fs = target.getFileSystem(hadoop)
+    recover_partition(spark, path)
     old = spark.read.parquet(path).count() if fs.exists(target) else 0
     merged.write.mode("overwrite").option("compression", "zstd").parquet(path + "._staged")
     new = spark.read.parquet(path + "._staged").count()
@@ -77,11 +83,27 @@ def publish_partition(spark, merged: DataFrame, path: str, *, restate: bool = Fa
     except QualityError:
         fs.delete(temp, True)
         raise
-    fs.delete(target, True)
-    fs.rename(temp, target)
+    aside = jvm.org.apache.hadoop.fs.Path(path + "._replaced")
+    fs.delete(aside, True)
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"cannot set {path} aside")
+    if not fs.rename(temp, target):
+        if fs.exists(aside):
+            fs.rename(aside, target)
+        raise OSError(f"cannot move the new rows to {path}")
+    fs.delete(aside, True)
     return new
 
 
+def recover_partition(spark, path: str) -> None:
+    """Put back what a ``publish_partition`` that died between its two renames had set aside."""
+    jvm = spark.sparkContext._jvm
+    target, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + "._replaced")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target) and fs.exists(aside) and not fs.rename(aside, target):
+        raise OSError(f"cannot put {path} back")
+
+
 def write_years(df: DataFrame, path: str, *, day: str = "date") -> None:
     """Write by year folder, replacing only the years that ``df`` holds."""
     df.withColumn("year", F.year(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("year").parquet(path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.sources.tables import table
 
@@ -82,11 +83,27 @@ select event_type as series_id, cast(ts as date) as obs_date, case when extract(
 from {events} group by event_type, cast(ts as date), extract(day from ts)""",
 }
 
+#: Columns by which the newest delivery of a bar is told, the first ones first; NULL is least.
+_BAR_ORDER = ("ingested_at", "source", "close", "volume", "open", "high", "low", "listing_id", "exchange", "security_type")
+
+
+def _folded_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """The relation ``bars`` as a fold: deliveries of a bar combine before they are shuffled, however many there are."""
+    newest = F.max(F.struct(*_BAR_ORDER)).alias("n")
+    rows = table(spark, folder, "prices_eod_raw").groupBy("ticker", "date").agg(newest)
+    return rows.select("ticker", "date", *(f"n.{c}" for c in ("open", "high", "low", "close", "volume", "security_type", "exchange", "listing_id", "source")))
+
+
+#: Relations that Spark builds in a better way than the SQL says.
+_BUILT = {"bars": _folded_bars}
+
 _TABLE = re.compile(r"\{(\w+)\}")
 
 
 def relation(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The relation ``name`` over the tables of ``folder``."""
+    if name in _BUILT:
+        return _BUILT[name](spark, folder)
     text = RELATIONS[name]
     return spark.sql(text, **{t: table(spark, folder, t) for t in sorted(set(_TABLE.findall(text)))})
 

@@ -203,8 +203,7 @@ def _staged_bars(spark, d):
 def merge_latest(spark, d):
     """Stored and staged bars, one per (ticker, date, source), the newest delivery."""
     old, new = _staged_bars(spark, d)
-    order = [F.col("ingested_at").desc(), *(F.col(c).desc_nulls_last() for c in ("close", "volume", "open", "high", "low", "listing_id", "exchange", "security_type"))]
-    got = merge.merge_latest(old, new, keys=["ticker", "date", "source"], order=order, drop=F.col("ticker").like("ZTEST%"))
+    got = merge.merge_latest(old, new, keys=["ticker", "date", "source"], newest=["ingested_at", "close", "volume"], drop=F.col("ticker").like("ZTEST%"))
     return got.select("ticker", "date", "source", "close", "volume")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.exprs import price_band, ratio6, tick_size
-from quillspark.operators.actions import actions_between, split_or_one
+from quillspark.operators.actions import actions_between, month_no, months_of, split_or_one
 from quillspark.operators.quality import funnel
 
 
@@ -40,7 +40,7 @@ def moves(bars: DataFrame, actions: DataFrame, rules: MoveRules = MoveRules(), *
     """One row per bar with a prior bar of its listing: the split-adjusted move and its flags.
 
     Lag and trailing volume share one sort of (ticker, listing); actions join
-    by ticker with the day range as residual and touch only the bars that have any.  Flags
+    by ticker and month and touch only the bars that have any.  Flags
     (floor, gap, unexplained jump or fall) are columns, never filters.  A dividend counts as
     an action.  Bars without close or volume are no bars; a NULL listing is a listing.
     """
@@ -115,8 +115,10 @@ def unexplained_moves(bars: DataFrame, actions: DataFrame, *, jump: float = 1.0,
     seq = px.withColumn("prev_close", F.lag("close").over(w)).withColumn("prev_date", F.lag("date").over(w)).where(F.datediff("date", "prev_date") <= most_gap_days)
     ratio = F.col("close").cast("double") / F.col("prev_close").cast("double")
     far = seq.withColumn("move", ratio - 1).where((F.col("move") >= jump) | (F.col("move") <= fall))
-    act = actions.select(F.col("ticker").alias("_t"), "ex_date")
-    bare = far.join(act, (F.col("ticker") == F.col("_t")) & (F.col("ex_date") > F.col("prev_date")) & (F.col("ex_date") <= F.col("date")), "left_anti")
+    act = actions.select(F.col("ticker").alias("_t"), "ex_date", month_no("ex_date").alias("_m"))
+    placed = far.withColumn("_month", F.explode(months_of(F.date_add("prev_date", 1), F.col("date"))))
+    met = placed.join(act, (F.col("ticker") == F.col("_t")) & (F.col("_month") == F.col("_m")) & (F.col("ex_date") > F.col("prev_date")) & (F.col("ex_date") <= F.col("date")), "left")
+    bare = met.groupBy("ticker", "date", "prev_date", "prev_close", "close", "move").agg(F.count("_t").alias("acted")).where("acted = 0")
     return bare.select("ticker", "date", "prev_date", "prev_close", "close", ratio.cast("decimal(24,6)").alias("ratio"), F.when(F.col("move") > 0, "jump").otherwise("fall").alias("direction"))
 
 
@@ -127,20 +129,21 @@ def _sessions(bars: DataFrame) -> DataFrame:
 
 def event_anchors(events: DataFrame, bars: DataFrame, *, most_days: int = 30) -> DataFrame:
     """``event_id, ticker, event_date, base_i, base_date, base_close``: the last session strictly before each event, at most ``most_days`` before it."""
-    s = _sessions(bars).select(F.col("ticker").alias("_t"), F.col("date").alias("_d"), F.col("close").alias("_c"), "i")
-    met = events.join(s, (F.col("ticker") == F.col("_t")) & (F.col("_d") < F.col("event_date")) & (F.col("_d") >= F.date_sub("event_date", most_days)))
+    s = _sessions(bars).select(F.col("ticker").alias("_t"), F.col("date").alias("_d"), F.col("close").alias("_c"), "i", month_no("date").alias("_m"))
+    placed = events.withColumn("_month", F.explode(months_of(F.date_sub("event_date", most_days), F.date_sub("event_date", 1))))
+    met = placed.join(s, (F.col("ticker") == F.col("_t")) & (F.col("_month") == F.col("_m")) & (F.col("_d") < F.col("event_date")) & (F.col("_d") >= F.date_sub("event_date", most_days)))
     return met.groupBy("event_id", "ticker", "event_date").agg(F.max(F.struct("i", "_d", "_c")).alias("b")).select("event_id", "ticker", "event_date", F.col("b.i").alias("base_i"), F.col("b._d").alias("base_date"), F.col("b._c").alias("base_close"))
 
 
-def forward_returns(events: DataFrame, bars: DataFrame, actions: DataFrame, *, horizons: Sequence[int] = (1, 5, 30), benchmark: str = "SPY", suspect: float = 3.0, most_days: int = 30) -> DataFrame:
+def forward_returns(events: DataFrame, bars: DataFrame, actions: DataFrame, *, horizons: Sequence[int] = (1, 5, 30), benchmark: str = "SPY", suspect: float = 3.0, most_days: int = 30, anchors: DataFrame | None = None) -> DataFrame:
     """One row per event and horizon (in sessions after the anchor) with split-adjusted return and excess over the benchmark.
 
     A horizon without a bar gives no row.  The benchmark's closes are not split-adjusted;
-    where it lacks either day the excess is NULL.
+    where it lacks either day the excess is NULL.  ``anchors``: those of ``event_anchors``, if they are at hand.
     """
     if not horizons:
         raise ValueError("no horizons")
-    base = event_anchors(events, bars, most_days=most_days).withColumn("h", F.explode(F.array(*map(F.lit, horizons)))).withColumn("fwd_i", F.col("base_i") + F.col("h"))
+    base = (anchors if anchors is not None else event_anchors(events, bars, most_days=most_days)).withColumn("h", F.explode(F.array(*map(F.lit, horizons)))).withColumn("fwd_i", F.col("base_i") + F.col("h"))
     s = _sessions(bars).select(F.col("ticker").alias("_t"), F.col("i").alias("_i"), F.col("date").alias("fwd_date"), F.col("close").alias("fwd_close"))
     paired = base.join(s, (F.col("ticker") == F.col("_t")) & (F.col("fwd_i") == F.col("_i"))).drop("_t", "_i")
     splits = actions_between(paired.select("event_id", "h", "ticker", "base_date", "fwd_date"), actions, after="base_date", upto="fwd_date", keys=("event_id", "h")).select("event_id", "h", "split_factor")
@@ -154,9 +157,9 @@ def forward_returns(events: DataFrame, bars: DataFrame, actions: DataFrame, *, h
     return out.select("event_id", "ticker", "event_date", "h", "base_date", "fwd_date", "base_close", "fwd_close", "split_factor", "ret", "bench_ret", "excess", ((F.abs("ret") > suspect) & (F.col("split_factor") == 1)).alias("suspect_unadjusted"))
 
 
-def run_up(events: DataFrame, bars: DataFrame, actions: DataFrame, *, sessions: int = 5, most_days: int = 30) -> DataFrame:
+def run_up(events: DataFrame, bars: DataFrame, actions: DataFrame, *, sessions: int = 5, most_days: int = 30, anchors: DataFrame | None = None) -> DataFrame:
     """``event_id, run_up``: the split-adjusted return of the sessions before the anchor."""
-    base = event_anchors(events, bars, most_days=most_days).withColumn("from_i", F.col("base_i") - sessions)
+    base = (anchors if anchors is not None else event_anchors(events, bars, most_days=most_days)).withColumn("from_i", F.col("base_i") - sessions)
     s = _sessions(bars).select(F.col("ticker").alias("_t"), F.col("i").alias("_i"), F.col("date").alias("from_date"), F.col("close").alias("from_close"))
     pair = base.join(s, (F.col("ticker") == F.col("_t")) & (F.col("from_i") == F.col("_i")))
     splits = actions_between(pair.select("event_id", "ticker", "from_date", "base_date"), actions, after="from_date", upto="base_date", keys=("event_id",)).select("event_id", "split_factor")
@@ -182,7 +185,7 @@ def summarise_returns(results: DataFrame, *, label: str, run_ups: DataFrame | No
 
 def event_coverage(events: DataFrame, results: DataFrame) -> DataFrame:
     """``h, events, scored``: events in all and those with a return, per horizon."""
-    return results.groupBy("h").agg(F.countDistinct("event_id").alias("scored")).crossJoin(events.agg(F.count("*").alias("events"))).select("h", "events", "scored")
+    return results.groupBy("h").agg(F.countDistinct("event_id").alias("scored")).crossJoin(F.broadcast(events.agg(F.count("*").alias("events")))).select("h", "events", "scored")
 
 
 def resample(bars: DataFrame, unit: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.operators.actions import actions_between
 from quillspark.plans import market as m
 from quillspark.plans.adapters import relation, with_relations
+from quillspark.session import checkpointed
 
 BENCHMARK = "BMK1"
 
@@ -21,7 +22,8 @@ def _moves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return relation(spark, d, "study_events"), _bars(spark, d), relation(spark, d, "actions")
+    bars = checkpointed(_bars(spark, d).where("close > 0").select("ticker", "date", "close"))  # read three to five times below
+    return relation(spark, d, "study_events"), bars, relation(spark, d, "actions")
 
 
 def vol_moves(spark, d):
@@ -98,8 +100,10 @@ def outcome_runup(spark, d):
 def outcome_summary(spark, d):
     """The distribution of returns by role and horizon."""
     events, bars, actions = _events(spark, d)
-    got = m.forward_returns(events, bars, actions, benchmark=BENCHMARK).join(events.select("event_id", "role"), "event_id")
-    return m.summarise_returns(got, label="role", run_ups=m.run_up(events, bars, actions))
+    events = checkpointed(events)
+    anchors = checkpointed(m.event_anchors(events, bars))
+    got = m.forward_returns(events, bars, actions, benchmark=BENCHMARK, anchors=anchors).join(events.select("event_id", "role"), "event_id")
+    return m.summarise_returns(got, label="role", run_ups=m.run_up(events, bars, actions, anchors=anchors))
 
 
 def outcome_coverage(spark, d):

@@ -16,10 +16,10 @@ def bars(spark, data):
 
 def test_merge_keeps_the_newest(spark):
     old, new = bars(spark, [("A", DAY, 1.0, 1), ("B", DAY, 2.0, 1)]), bars(spark, [("A", DAY, 9.0, 2), ("ZT", DAY, 1.0, 2)])
-    got = merge.merge_latest(old, new, keys=["ticker", "date"], order=[F.desc("at")], drop=F.col("ticker") == "ZT")
+    got = merge.merge_latest(old, new, keys=["ticker", "date"], newest=["at"], drop=F.col("ticker") == "ZT")
     assert rows(got.select("ticker", "close")) == [("A", 9.0), ("B", 2.0)]
     with pytest.raises(QualityError):
-        merge.merge_latest(old, new.drop("at"), keys=["ticker"], order=[F.desc("close")])
+        merge.merge_latest(old, new.drop("at"), keys=["ticker"], newest=["close"])
 
 
 def test_insert_and_verify(spark):
