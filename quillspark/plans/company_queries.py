@@ -8,6 +8,7 @@ from quillspark.functions.exprs import cik_key
 from quillspark.operators import merge
 from quillspark.plans import filers, misc, sponsors
 from quillspark.plans.adapters import relation, with_relations
+from quillspark.session import checkpointed
 from quillspark.sources.tables import table
 
 TODAY = "2026-01-01"
@@ -93,26 +94,56 @@ def peer_median_value(spark, d):
     return filers.peer_median(_facts(spark, d), values)
 
 
+def _valued(spark, d):
+    facts = checkpointed(_facts(spark, d))  # read four times below
+    number = F.col("cik").cast("bigint")
+    betas = filers.latest_figures(facts).where(number % 3 == 0).select("cik", F.round(F.lit(0.5) + (number % 20).cast("double") / 10, 6).alias("beta"))
+    peers = filers.peer_median(facts, betas.withColumnRenamed("beta", "value")).where("median_value is not null").select("cik", F.col("median_value").alias("beta"), F.col("sic_depth").alias("depth"))
+    return filers.valuations(facts, betas=betas, peer_betas=peers, past=filers.past_growth(facts))
+
+
 def dcf_values(spark, d):
     """Discounted-cash-flow arithmetic per filer."""
-    return filers.valuations(_facts(spark, d))
+    return _valued(spark, d)
 
 
 def dcf_substitutions(spark, d):
     """How often each substitution was made, by outcome."""
-    v = filers.valuations(_facts(spark, d))
+    v = _valued(spark, d).where("outcome = 'valued'")
     return v.select("outcome", F.explode(F.split("substitutions", ",")).alias("substitution")).groupBy("outcome", "substitution").agg(F.count("*").alias("filers"))
 
 
-def deal_multiples(spark, d):
-    """Deal values over the newest figures before the filing."""
-    deals = table(spark, d, "deals").withColumn("cik10", cik_key("cik"))
-    facts = _facts(spark, d).withColumn("cik", F.lpad(F.concat(F.lit("4"), F.lpad("cik", 7, "0")), 10, "0"))
-    first = deals.groupBy("accession").agg(F.min("id").alias("id"))
-    return filers.deal_multiples(deals.join(first, ["accession", "id"], "left_semi"), facts)
+def dcf_coverage(spark, d):
+    """Valued filers by the quarter in which their fiscal year ends."""
+    return filers.valuation_coverage(_valued(spark, d))
+
+
+def _deal_inputs(spark, d):
+    """Deals, yearly figures of their companies (which end in different years), and a universe in which every third company goes on filing."""
+    facts = _facts(spark, d).withColumn("cik", F.concat(F.lit("4"), F.lpad("cik", 7, "0"))).withColumn("shift", F.explode(F.array(F.lit(240), F.lit(324)))).withColumn("period_end", F.expr("add_months(period_end, shift)")).drop("shift")
+    facts = facts.where(F.year("period_end") <= 2013 + F.col("cik").cast("bigint") % 13)
+    last = facts.groupBy("cik").agg(F.max("period_end").alias("last"))
+    universe = last.select("cik", F.when(F.col("cik").cast("bigint") % 3 == 0, F.add_months("last", 24)).otherwise(F.col("last")).alias("last_period"), F.lit("filing").alias("status"))
+    # the deals are spread over as many companies as there are figures of
+    number = F.expr("cast(right(accession, 6) as int) % 1500 + 1").cast("string")
+    return table(spark, d, "deals").withColumn("cik", F.concat(F.lit("4"), F.lpad(number, 7, "0"))), facts, universe
+
+
+def _identified(spark, d):
+    return filers.deal_identity(*_deal_inputs(spark, d), today="2026-07-01")
 
 
 def deal_identity(spark, d):
+    """What the filing record says of each priced deal's target."""
+    return _identified(spark, d).select("accession", "cik10", "filed_date", "value_usd", "pre_end", "last_end", "last_deal_filing", "identity")
+
+
+def deal_multiples(spark, d):
+    """Deal values over the last annual figures before the deal."""
+    return filers.deal_multiples(_identified(spark, d), _deal_inputs(spark, d)[1])
+
+
+def deal_filers(spark, d):
     """Filings with their company's key and whether it files later."""
     return misc.filings_by_cik(table(spark, d, "deals"))
 
@@ -190,7 +221,7 @@ def promote_union(spark, d):
 
 def promote_gate(spark, d):
     """Promoted entities and whether they have a value."""
-    v = filers.valuations(_facts(spark, d)).withColumn("cik", F.lpad(F.concat(F.lit("4"), F.lpad("cik", 7, "0")), 10, "0"))
+    v = _valued(spark, d).withColumn("cik", F.lpad(F.concat(F.lit("4"), F.lpad("cik", 7, "0")), 10, "0"))
     return sponsors.gate(sponsors.promote(*_legs(spark, d)), v)
 
 
@@ -332,7 +363,7 @@ def overdue_jobs(spark, d):
     return misc.overdue_jobs(beats, cadence, now="2024-02-05 00:00:00").select("job", "due_every_hours", "overdue")
 
 
-QUERIES = {f.__name__: f for f in (facts_resolve, facts_topline, facts_funnel, coverage_status, coverage_matrix, coverage_drift, unmapped_queue, filer_universe, stopped_filers, latest_per_concept, peer_sets, peer_ladder_outcomes, peer_alternatives, peer_median_value, dcf_values, dcf_substitutions, deal_multiples, deal_identity, sponsors_rollup, sponsors_resolved, plan_year_completeness, trend_matched_plans, review_queue, mature_population, mature_targets, purchase_clusters, superseded_filings, promote_union, promote_gate, merge_latest, upsert_missing_anti, upsert_macro, widen_ranges, price_fate, ticker_owner_count, ticker_routes, macro_latest, macro_change, reconcile_universe, name_norm, cik_norm, accession_norm, json_payload, text_value_extract, text_classify, text_section_density, text_section_window, visible_text, proxy_shape, projection_growth, projection_coherence, dataset_stats, overdue_jobs)}
+QUERIES = {f.__name__: f for f in (facts_resolve, facts_topline, facts_funnel, coverage_status, coverage_matrix, coverage_drift, unmapped_queue, filer_universe, stopped_filers, latest_per_concept, peer_sets, peer_ladder_outcomes, peer_alternatives, peer_median_value, dcf_values, dcf_substitutions, dcf_coverage, deal_multiples, deal_identity, deal_filers, sponsors_rollup, sponsors_resolved, plan_year_completeness, trend_matched_plans, review_queue, mature_population, mature_targets, purchase_clusters, superseded_filings, promote_union, promote_gate, merge_latest, upsert_missing_anti, upsert_macro, widen_ranges, price_fate, ticker_owner_count, ticker_routes, macro_latest, macro_change, reconcile_universe, name_norm, cik_norm, accession_norm, json_payload, text_value_extract, text_classify, text_section_density, text_section_window, visible_text, proxy_shape, projection_growth, projection_coherence, dataset_stats, overdue_jobs)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -368,7 +399,7 @@ def _raw(then: str) -> str:
 
 _LATEST = """
 r as (select *, row_number() over (partition by cik, concept order by period_end desc nulls last, filed desc nulls last, adsh desc nulls last) as rn from facts_long where sic_class = 'operating'),
-latest as (select cik, arg_max(company, (period_end, filed, adsh, concept)) as company, arg_max(sic, (period_end, filed, adsh, concept)) as sic, """ + ", ".join(f"max(case when concept = '{c}' and status = 'stated' then value end) as {c}" for c in ("revenue", "assets", "operating_cash_flow", "capex", "equity", "liabilities", "net_income")) + """ from r where rn = 1 group by cik)
+latest as (select cik, arg_max(company, (period_end, filed, adsh, concept)) as company, arg_max(sic, (period_end, filed, adsh, concept)) as sic, max(period_end) as period_end, """ + ", ".join(f"max(case when concept = '{c}' and status = 'stated' then value end) as {c}" for c in ("revenue", "assets", "operating_cash_flow", "capex", "equity", "liabilities", "net_income")) + """ from r where rn = 1 group by cik)
 """
 
 _PEERS = (
@@ -394,14 +425,26 @@ def _peered(then: str) -> str:
     return with_relations("facts_long", then=_PEERS + then)
 
 
+_PV = "case when abs(rate_x - {g}) < 1e-9 then fcf_x * 10 else fcf_x * ((1 + {g}) / (1 + rate_x)) * (1 - pow((1 + {g}) / (1 + rate_x), 10)) / (1 - (1 + {g}) / (1 + rate_x)) end + fcf_x * pow(1 + {g}, 10) * (1 + 0.025::double) / (rate_x - 0.025::double) / pow(1 + rate_x, 10)"
 _VALUED = (
     _LATEST
     + """,
-fcf as (select *, case when operating_cash_flow is not null then (operating_cash_flow - coalesce(abs(capex), 0))::double end as fcf_x, coalesce(equity::double, 0) + coalesce(liabilities::double, 0) as whole from latest),
-rated as (select *, case when whole > 0 then (coalesce(equity::double, 0) * 0.095::double + coalesce(liabilities::double, 0) * ((0.0483::double + 0.02::double) * (1 - 0.21::double))) / whole else 0.095::double end as rate_x from fcf),
-outcomes as (select *, case when fcf_x is null then 'no_cash_flow' when fcf_x <= 0 then 'negative_fcf' when rate_x < 0.04 or 0.025 >= rate_x then 'no_discount_rate' else 'valued' end as outcome, (1 + 0.03::double) / (1 + rate_x) as ratio from rated),
-vals as (select cik, company, fcf_x as fcf, round(rate_x, 8) as rate, case when outcome = 'valued' then round(case when abs(rate_x - 0.03::double) < 1e-9 then fcf_x * 10 else fcf_x * ratio * (1 - pow(ratio, 10)) / (1 - ratio) end + fcf_x * pow(1 + 0.03::double, 10) * (1 + 0.025::double) / (rate_x - 0.025::double) / pow(1 + rate_x, 10), 0) end as value, outcome,
-  concat(case when operating_cash_flow is not null and capex is null then 'absent_capex,' else '' end, 'premium_constant,growth_constant,no_beta') as substitutions from outcomes)
+own as (select cik, round(0.5::double + (cast(cik as bigint) % 20)::double / 10, 6) as beta from latest where cast(cik as bigint) % 3 = 0),
+vbase as (select cik, sic, assets from latest where sic is not null and assets > 0), vhave as (select b.*, o.beta as v from vbase b join own o using (cik)), """
+    + ", ".join(f"v{d} as (select a.cik, count(*) as n, median(p.v) as m from vbase a join vhave p on p.sic // {10 ** (4 - d)} = a.sic // {10 ** (4 - d)} and p.cik <> a.cik and p.assets::double between a.assets::double / 3 and a.assets::double * 3 group by a.cik)" for d in (4, 3, 2))
+    + """,
+peer_beta as (select b.cik, case when v4.n >= 8 then round(v4.m, 6) when v3.n >= 8 then round(v3.m, 6) when v2.n >= 8 then round(v2.m, 6) end as beta, case when v4.n >= 8 then 4 when v3.n >= 8 then 3 when v2.n >= 8 then 2 end as depth from vbase b left join v4 on v4.cik = b.cik left join v3 on v3.cik = b.cik left join v2 on v2.cik = b.cik),
+yearly as (select cik, year(period_end) as y, max(value) as v from facts_long where concept = 'revenue' and status = 'stated' and value > 0 group by all),
+past as (select cik, round(pow(arg_max(v, y)::double / arg_min(v, y)::double, 1.0 / (max(y) - min(y))) - 1, 9) as past from yearly group by cik having max(y) > min(y)),
+fcf as (select l.*, o.beta as own_beta, p.beta as peer_beta, p.depth, h.past, coalesce(o.beta, p.beta) as beta_x, case when operating_cash_flow is not null then (operating_cash_flow - coalesce(abs(capex), 0))::double end as fcf_x, coalesce(equity::double, 0) + coalesce(liabilities::double, 0) as whole
+  from latest l left join own o on o.cik = l.cik left join peer_beta p on p.cik = l.cik left join past h on h.cik = l.cik),
+costed as (select *, case when beta_x is null then 0.095::double else 0.0483::double + beta_x * 0.0433::double end as ke from fcf),
+rated as (select *, case when whole > 0 then (coalesce(equity::double, 0) * ke + coalesce(liabilities::double, 0) * ((0.0483::double + 0.02::double) * (1 - 0.21::double))) / whole else ke end as rate_x from costed),
+outcomes as (select *, case when fcf_x is null then 'no_cash_flow' when fcf_x <= 0 then 'negative_fcf' when rate_x < 0.04 or 0.025 >= rate_x then 'no_discount_rate' else 'valued' end as outcome from rated),
+vals as (select cik, company, period_end, fcf_x as fcf, case when outcome = 'valued' then round(rate_x, 8) end as rate, """
+    + ", ".join(f"case when outcome = 'valued' then round({_PV.format(g=f'{g}::double')}, 0) end as {name}" for name, g in (("value", 0.03), ("flex_0", 0.0), ("flex_3", 0.03), ("flex_6", 0.06), ("flex_10", 0.1)))
+    + """, outcome,
+  case when outcome = 'valued' then concat_ws(',', case when own_beta is null and peer_beta is not null then 'peer_beta' end, case when own_beta is null and peer_beta is not null and depth < 4 then 'comp_depth' end, case when operating_cash_flow is not null and capex is null then 'absent_capex' end, 'erp_constant', 'growth_constant', case when abs(past - 0.03) > 0.1 then 'growth_mismatch' end, case when beta_x is null then 'no_beta' end) else '' end as substitutions from outcomes)
 """
 )
 
@@ -409,7 +452,7 @@ _SPONSORS = """
 per_plan as (select plan_year, ein, coalesce(plan_num, '?') as plan, max(coalesce(participants, 0)) as participants, max(active) as active, min(sponsor_name) as sponsor_name, max(naics) as naics, max(state) as state, max(dfe_code) as dfe_code, max(entity_code) as entity_code, bool_or(coalesce(pension_code like '%2L%' or pension_code like '%2M%', false)) as has_403b, bool_or(form = 'short') as short, bool_or(form = 'main') as main, min(case when plan_eff_date > date '1900-01-01' and plan_eff_date <= make_date(plan_year + 1, 1, 1) then plan_eff_date end) as plan_eff from plan_filings where ein is not null group by all),
 rolled as (select plan_year, ein, min(sponsor_name) as sponsor_name, max(naics) as naics, max(state) as state, count(*) as plans, sum(participants)::bigint as participants_sum, max(participants) as participants_max, sum(active)::bigint as active_sum, max(active) as active_max,
   string_agg(plan || ':' || participants || ':' || coalesce(active::varchar, '-'), ';' order by plan) as plan_counts, min(plan_eff) as oldest_plan_eff, max(dfe_code) as dfe_code, coalesce(bool_or(dfe_code is not null), false) as is_dfe, coalesce(bool_or(entity_code = '1'), false) as is_multiemployer, coalesce(bool_or(short), false) as files_short_form, coalesce(bool_or(main), false) as files_main_form,
-  case when bool_or(has_403b) and coalesce(max(naics) in ('611110', '611310', '622110', '813110'), false) then 'both' when bool_or(has_403b) then 'plan' when max(naics) in ('611110', '611310', '622110', '813110') then 'naics' end as nonprofit_basis from per_plan group by all)
+  case when bool_or(has_403b) and coalesce(max(naics) in ('712100', '622000', '611000', '624100', '813000', '624200', '624310', '711100', '621420', '623000', '515100', '621498'), false) then 'both' when bool_or(has_403b) then 'plan_type' when max(naics) in ('712100', '622000', '611000', '624100', '813000', '624200', '624310', '711100', '621420', '623000', '515100', '621498') then 'naics' end as nonprofit_basis from per_plan group by all)
 """
 
 _NOISE = ", ".join(f"'{w}'" for w in sponsors.NAME_NOISE)
@@ -453,6 +496,19 @@ def _plan(body: str, then: str) -> str:
 _STAGES = ["true", "not coalesce(by_ein, false) and not coalesce(name_matched, false)", "not coalesce(is_dfe, false) and not coalesce(is_multiemployer, false)", "nonprofit_basis is null", "status = 'filing'", "trend in ('flat', 'declining')", "active_max between 20 and 1000", "(date '2026-01-01' - oldest_plan_eff) / 365.25 >= 20"]
 _STAGE_NAMES = ["sponsors", "no registrant", "an employer", "for profit", "still files", "not growing", "of the size", "old enough"]
 _CIK10 = "lpad(ltrim(regexp_replace(cik, '[^0-9]', '', 'g'), '0'), 10, '0')"
+_IDENTITY = f"""
+fin as (select * from (select lpad(concat('4', lpad(cik, 7, '0')), 10, '0') as cik10, cast(period_end + to_months(shift) as date) as period_end, concept, value, status from facts_long, (values (240), (324)) v(shift)) where year(period_end) <= 2013 + cast(cik10 as bigint) % 13),
+uni as (select cik10, case when cast(cik10 as bigint) % 3 = 0 then max(period_end) + interval 24 month else max(period_end) end as last_end from fin group by cik10),
+spread as (select * replace (lpad(concat('4', lpad(cast(cast(right(accession, 6) as int) % 1500 + 1 as varchar), 7, '0')), 10, '0') as cik) from deals),
+one as (select * exclude (rn) from (select *, cik as cik10, row_number() over (partition by accession order by ingested_at desc nulls last, id desc) as rn from spread) where rn = 1),
+op as (select * from one where filer_role <> 'acquirer' and value_usd is not null and deal_type = 'operating'),
+spans as (select o.accession, max(case when f.period_end < o.filed_date then f.period_end end) as pre_end from op o join fin f on f.cik10 = o.cik10 group by 1),
+later as (select cik as cik10, max(filed_date) as last_deal_filing from spread group by 1),
+identified as (select o.accession, o.cik10, o.filed_date, o.value_usd, cast(s.pre_end as date) as pre_end, cast(u.last_end as date) as last_end, l.last_deal_filing,
+  case when s.pre_end is null then null when u.last_end > s.pre_end then 'kept_filing' when l.last_deal_filing > o.filed_date then 'kept_filing'
+    when date '2026-07-01' - o.filed_date < 548 or (select cast(max(period_end) as date) from fin) - o.filed_date < 548 then 'too_recent' else 'acquired_whole' end as identity
+  from op o left join spans s using (accession) left join uni u on u.cik10 = o.cik10 left join later l on l.cik10 = o.cik10)
+"""
 _PROMOTED = f"""
 legs as (select {_CIK10} as cik10, company as name, 'filing' as reason, 0 as no from deals where deal_type in ('operating', 'division_sale') union all select {_CIK10}, name, 'registrant', 1 from sec_names union all select {_CIK10}, null, 'symbol', 2 from company_ticker_history),
 promoted as (select cik10, arg_min(name, (no, name)) filter (where name is not null) as name, string_agg(distinct reason, ',' order by reason) as reasons, count(distinct reason) as n_reasons from legs where cik10 is not null group by 1)
@@ -479,20 +535,19 @@ select g.*, case when newest - last_period <= 548 then 'filing' when last_filed
     "latest_per_concept": with_relations("facts_long", then=_LATEST + "select * from latest"),
     "peer_sets": _peered("select *, peers_material * 2 < peers_banded as thinned from sets"),
     "peer_ladder_outcomes": _peered("select outcome, case when outcome = 'served' then sic_depth end as sic_depth, count(*) as filers from sets group by all"),
-    "peer_alternatives": with_relations("facts_long", then=_LATEST + ", base as (select cik, sic, revenue, assets from latest where sic is not null and assets > 0), " + ", ".join(f"q{d} as (select a.cik, count(*) filter (where p.revenue > 0) as m0, count(*) filter (where p.revenue > 1000000) as m1, count(*) filter (where p.revenue > 10000000) as m10 from base a join base p on p.sic // {10 ** (4 - d)} = a.sic // {10 ** (4 - d)} and p.cik <> a.cik and p.assets::double between a.assets::double / 3 and a.assets::double * 3 group by a.cik)" for d in (4, 3, 2)) + """,
-j as (select b.cik, b.revenue, greatest(coalesce(q4.m0, 0), coalesce(q3.m0, 0), coalesce(q2.m0, 0)) as m0, greatest(coalesce(q4.m1, 0), coalesce(q3.m1, 0), coalesce(q2.m1, 0)) as m1, greatest(coalesce(q4.m10, 0), coalesce(q3.m10, 0), coalesce(q2.m10, 0)) as m10 from base b left join q4 on q4.cik = b.cik left join q3 on q3.cik = b.cik left join q2 on q2.cik = b.cik)
-""" + " union all ".join(f"select {m} as material, {n} as least, count(*) filter (where revenue > {m} and {c} >= {n}) as served from j" for m, n, c in ((0, 8, "m0"), (1000000, 8, "m1"), (10000000, 8, "m10"), (1000000, 3, "m1"), (1000000, 12, "m1")))),
+    "peer_alternatives": with_relations("facts_long", then=_LATEST + ", base as (select cik, sic, revenue, assets from latest where sic is not null and assets > 0), " + ", ".join(f"q{d} as (select a.cik, count(*) filter (where p.revenue > 0) as m0, count(*) filter (where p.revenue > 1000000) as m1, count(*) filter (where p.revenue > 10000000) as m10, count(*) filter (where p.revenue > 50000000) as m50 from base a join base p on p.sic // {10 ** (4 - d)} = a.sic // {10 ** (4 - d)} and p.cik <> a.cik and p.assets::double between a.assets::double / 3 and a.assets::double * 3 group by a.cik)" for d in (4, 3, 2)) + """,
+j as (select b.cik, b.revenue, greatest(coalesce(q4.m0, 0), coalesce(q3.m0, 0), coalesce(q2.m0, 0)) as m0, greatest(coalesce(q4.m1, 0), coalesce(q3.m1, 0), coalesce(q2.m1, 0)) as m1, greatest(coalesce(q4.m10, 0), coalesce(q3.m10, 0), coalesce(q2.m10, 0)) as m10, greatest(coalesce(q4.m50, 0), coalesce(q3.m50, 0), coalesce(q2.m50, 0)) as m50 from base b left join q4 on q4.cik = b.cik left join q3 on q3.cik = b.cik left join q2 on q2.cik = b.cik)
+""" + " union all ".join(f"select {m} as material, {n} as least, count(*) filter (where revenue > {m} and {c} >= {n}) as served from j" for m, n, c in ((0, 8, "m0"), (1000000, 8, "m1"), (10000000, 8, "m10"), (50000000, 8, "m50"), (1000000, 3, "m1"), (1000000, 12, "m1")))),
     "peer_median_value": with_relations("facts_long", then=_LATEST + ", base as (select cik, sic, assets from latest where sic is not null and assets > 0), having_v as (select b.*, l.operating_cash_flow::double / l.revenue::double as v from base b join latest l using (cik) where l.revenue > 0 and l.operating_cash_flow is not null), " + ", ".join(f"q{d} as (select a.cik, count(*) as n, median(p.v) as m from base a join having_v p on p.sic // {10 ** (4 - d)} = a.sic // {10 ** (4 - d)} and p.cik <> a.cik and p.assets::double between a.assets::double / 3 and a.assets::double * 3 group by a.cik)" for d in (4, 3, 2)) + """
 select b.cik, case when q4.n >= 8 then 4 when q3.n >= 8 then 3 when q2.n >= 8 then 2 end as sic_depth, case when q4.n >= 8 then q4.n when q3.n >= 8 then q3.n when q2.n >= 8 then q2.n end as n, round(case when q4.n >= 8 then q4.m when q3.n >= 8 then q3.m when q2.n >= 8 then q2.m end, 6) as median_value from base b left join q4 on q4.cik = b.cik left join q3 on q3.cik = b.cik left join q2 on q2.cik = b.cik"""),
     "dcf_values": with_relations("facts_long", then=_VALUED + "select * from vals"),
-    "dcf_substitutions": with_relations("facts_long", then=_VALUED + "select outcome, substitution, count(*) as filers from (select outcome, unnest(string_split(substitutions, ',')) as substitution from vals) group by all"),
-    "deal_multiples": with_relations("facts_long", then=f"""
-d as (select accession, {_CIK10} as cik10, filed_date, value_usd from (select *, row_number() over (partition by accession order by id) as rn from deals) where rn = 1 and value_usd is not null and coalesce(filer_role, '') <> 'acquirer'),
-f as (select lpad('4' || lpad(cik, 7, '0'), 10, '0') as cik10, concept, value, period_end from facts_long where status = 'stated' and concept in ('revenue', 'net_income')),
-j as (select d.*, f.concept, f.value, f.period_end from d left join f on f.cik10 = d.cik10 where f.period_end is null or f.period_end < d.filed_date),
-g as (select accession, cik10, filed_date, value_usd, arg_max(value, period_end) filter (where concept = 'revenue') as revenue, arg_max(value, period_end) filter (where concept = 'net_income') as net_income, max(period_end) as pre_end from j group by all)
-select *, round(case when revenue > 0 then value_usd::double / revenue::double end, 6) as to_revenue, round(case when net_income > 0 then value_usd::double / net_income::double end, 6) as to_income from g"""),
-    "deal_identity": f"with d as (select accession, max({_CIK10}) as cik10, max(filed_date) as filed_date from deals group by 1) select *, max(filed_date) over (partition by cik10) as last_filed, max(filed_date) over (partition by cik10) > filed_date as files_later from d",
+    "dcf_substitutions": with_relations("facts_long", then=_VALUED + "select outcome, substitution, count(*) as filers from (select outcome, unnest(string_split(substitutions, ',')) as substitution from vals where outcome = 'valued') group by all"),
+    "dcf_coverage": with_relations("facts_long", then=_VALUED + "select year(period_end) as year, quarter(period_end) as quarter, count(*) filter (where outcome = 'valued') as valued, count(*) as filers from vals where period_end is not null group by all"),
+    "deal_identity": with_relations("facts_long", then=_IDENTITY + "select accession, cik10, filed_date, value_usd, pre_end, last_end, last_deal_filing, identity from identified"),
+    "deal_multiples": with_relations("facts_long", then=_IDENTITY + """, figures as (select i.accession, max(case when f.concept = 'revenue' and f.status = 'stated' then f.value end) as revenue, max(case when f.concept = 'net_income' and f.status = 'stated' then f.value end) as net_income from identified i join fin f on f.cik10 = i.cik10 and f.period_end = i.pre_end group by 1)
+select accession, cik10, filed_date, value_usd, pre_end, revenue, net_income, case when revenue > 0 then round(value_usd::double / revenue::double, 6) end as to_revenue, case when net_income > 0 then round(value_usd::double / net_income::double, 6) end as to_income
+from identified join figures using (accession) where identity = 'acquired_whole' and revenue is not null"""),
+    "deal_filers": f"with d as (select accession, max({_CIK10}) as cik10, max(filed_date) as filed_date from deals group by 1) select *, max(filed_date) over (partition by cik10) as last_filed, max(filed_date) over (partition by cik10) > filed_date as files_later from d",
     "sponsors_rollup": _plan(_SPONSORS, "select * from rolled"),
     "sponsors_resolved": _plan(_RESOLUTION, "select plan_year, ein, sponsor_name, ein_cik, exact_cik, exact_candidates, norm_cik, norm_candidates, by_ein, by_ein_listed, name_matched from history"),
     "plan_year_completeness": "with g as (select plan_year, count(*) as filings from entity_review group by 1) select plan_year, filings, round(filings / (select max(filings) from g), 6) as share from g",

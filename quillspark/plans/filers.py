@@ -33,7 +33,7 @@ class Concept:
 
 # The tags of each concept, in order of preference.
 CONCEPTS = (
-    Concept("revenue", ("Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax", "RevenueFromContractWithCustomerIncludingAssessedTax", "RegulatedAndUnregulatedOperatingRevenue", "RegulatedOperatingRevenue", "SalesRevenueNet", "SalesRevenueGoodsNet"), 4, r"revenue|sales|fees|premium|interestincome"),
+    Concept("revenue", ("Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax", "RevenueFromContractWithCustomerIncludingAssessedTax", "RegulatedAndUnregulatedOperatingRevenue", "RegulatedOperatingRevenue", "RevenueNotFromContractWithCustomer", "RevenueFromCollaborativeArrangementExcludingRevenueFromContractWithCustomer", "OperatingLeaseLeaseIncome", "SalesRevenueNet", "SalesRevenueGoodsNet"), 4, r"revenue|sales|fees|premium|interestincome"),
     Concept("net_income", ("NetIncomeLoss", "ProfitLoss", "NetIncomeLossAvailableToCommonStockholdersBasic"), 4),
     Concept("assets", ("Assets",), 0),
     Concept("liabilities", ("Liabilities",), 0),
@@ -156,7 +156,7 @@ def latest_figures(facts: DataFrame) -> DataFrame:
     newest = facts.where("sic_class = 'operating'").withColumn("rn", F.row_number().over(w)).where("rn = 1")
     figure = lambda c: F.max(F.when((F.col("concept") == c) & (F.col("status") == STATED), F.col("value"))).alias(c)
     at = F.struct("period_end", "filed", "adsh", "concept")
-    return newest.groupBy("cik").agg(F.max_by("company", at).alias("company"), F.max_by("sic", at).alias("sic"), *(figure(c) for c in ("revenue", "assets", "operating_cash_flow", "capex", "equity", "liabilities", "net_income")))
+    return newest.groupBy("cik").agg(F.max_by("company", at).alias("company"), F.max_by("sic", at).alias("sic"), F.max("period_end").alias("period_end"), *(figure(c) for c in ("revenue", "assets", "operating_cash_flow", "capex", "equity", "liabilities", "net_income")))
 
 
 def _peer_pairs(base: DataFrame, peers: DataFrame, *, depth: int, band: float) -> DataFrame:
@@ -242,7 +242,7 @@ def peer_outcomes(sets: DataFrame) -> DataFrame:
     return sets.groupBy("outcome", F.when(F.col("outcome") == "served", F.col("sic_depth")).alias("sic_depth")).agg(F.count("*").alias("filers"))
 
 
-def peer_alternatives(facts: DataFrame, *, choices: Sequence[tuple[int, int]] = ((0, 8), (1_000_000, 8), (10_000_000, 8), (1_000_000, 3), (1_000_000, 12)), band: float = 3.0, depths: Sequence[int] = (4, 3, 2)) -> DataFrame:
+def peer_alternatives(facts: DataFrame, *, choices: Sequence[tuple[int, int]] = ((0, 8), (1_000_000, 8), (10_000_000, 8), (50_000_000, 8), (1_000_000, 3), (1_000_000, 12)), band: float = 3.0, depths: Sequence[int] = (4, 3, 2)) -> DataFrame:
     """``material, least, served``: filers that other floors would serve, from one pass over the pairs of each depth."""
     base = checkpointed(latest_figures(facts).select("cik", "sic", "revenue", "assets").where("sic is not null and assets > 0"))
     counts = base
@@ -286,34 +286,107 @@ def present_value(cash, rate, growth, long_growth, years: int):
     return explicit + cash * F.pow(1 + growth, F.lit(years)) * (1 + long_growth) / (rate - long_growth) / F.pow(1 + rate, F.lit(years))
 
 
-def valuations(facts: DataFrame, *, betas: DataFrame | None = None, rates: ValuationRates = ValuationRates()) -> DataFrame:
-    """One row per operating filer: free cash flow, discount rate, value, outcome, and the substitutions made, in order.
+#: Growth rates that every value is flexed at, by the name of its column.
+FLEX_GROWTH = {"flex_0": 0.00, "flex_3": 0.03, "flex_6": 0.06, "flex_10": 0.10}
+#: How far a filer's past growth may lie from the constant before its row says so.
+GROWTH_BAND = 0.10
 
-    Pure column arithmetic; ``betas`` (``cik, beta``) is optional.
+
+def past_growth(facts: DataFrame) -> DataFrame:
+    """``cik, past``: yearly growth of revenue between the first and the last positive year stated."""
+    rows = facts.where((F.col("concept") == "revenue") & (F.col("status") == STATED) & (F.col("value") > 0)).groupBy("cik", F.year("period_end").alias("y")).agg(F.max("value").alias("v"))
+    g = rows.groupBy("cik").agg(F.min(F.struct("y", "v")).alias("a"), F.max(F.struct("y", "v")).alias("b")).where("b.y > a.y")
+    return g.select("cik", F.round(F.pow(F.col("b.v").cast("double") / F.col("a.v").cast("double"), 1.0 / (F.col("b.y") - F.col("a.y"))) - 1, 9).alias("past"))
+
+
+def valuations(facts: DataFrame, *, betas: DataFrame | None = None, peer_betas: DataFrame | None = None, growths: DataFrame | None = None, past: DataFrame | None = None, rates: ValuationRates = ValuationRates()) -> DataFrame:
+    """One row per operating filer: free cash flow, discount rate, value, value at other growths, outcome, and the substitutions made.
+
+    Pure column arithmetic.  A filer's own ``betas`` (``cik, beta``) holds before that of its peers
+    (``peer_betas``: ``cik, beta, depth``), which is marked, and once more if a widened industry served; its own
+    ``growths`` (``cik, growth``) before the constant, which is marked, and once more if its ``past``
+    (``cik, past``) lies far from it.  Rate and substitutions are those of valued filers only.
     """
     f = latest_figures(facts)
-    f = f.join(betas.select("cik", F.col("beta").cast("double").alias("beta")), "cik", "left") if betas is not None else f.withColumn("beta", F.lit(None).cast("double"))
+    f = f.join(betas.select("cik", F.col("beta").cast("double").alias("own_beta")), "cik", "left") if betas is not None else f.withColumn("own_beta", F.lit(None).cast("double"))
+    f = f.join(peer_betas.select("cik", F.col("beta").cast("double").alias("peer_beta"), "depth"), "cik", "left") if peer_betas is not None else f.withColumns({"peer_beta": F.lit(None).cast("double"), "depth": F.lit(None).cast("int")})
+    f = f.join(growths.select("cik", F.col("growth").cast("double").alias("own_growth")), "cik", "left") if growths is not None else f.withColumn("own_growth", F.lit(None).cast("double"))
+    f = f.join(past.select("cik", F.col("past").cast("double").alias("past")), "cik", "left") if past is not None else f.withColumn("past", F.lit(None).cast("double"))
     d = lambda c: F.col(c).cast("double")
+    beta = F.coalesce("own_beta", "peer_beta")
     cash = F.when(F.col("operating_cash_flow").isNotNull(), (F.col("operating_cash_flow") - F.coalesce(F.abs("capex"), F.lit(0))).cast("double"))  # exact up to here
-    equity_cost = F.when(F.col("beta").isNotNull(), rates.risk_free + F.col("beta") * rates.premium).otherwise(F.lit(rates.flat))
+    equity_cost = F.when(beta.isNotNull(), rates.risk_free + beta * rates.premium).otherwise(F.lit(rates.flat))
     debt_cost = (rates.risk_free + rates.spread) * (1 - rates.tax)
     whole = F.coalesce(d("equity"), F.lit(0.0)) + F.coalesce(d("liabilities"), F.lit(0.0))
     rate = F.when(whole > 0, (F.coalesce(d("equity"), F.lit(0.0)) * equity_cost + F.coalesce(d("liabilities"), F.lit(0.0)) * debt_cost) / whole).otherwise(equity_cost)
     long_growth = min(rates.long_growth, rates.risk_free)
-    v = f.withColumn("fcf", cash).withColumn("rate", rate)
+    growth = F.coalesce("own_growth", F.lit(rates.growth))
+    v = f.withColumn("fcf", cash).withColumn("rate", rate).withColumn("g", growth)
     outcome = F.when(F.col("fcf").isNull(), "no_cash_flow").when(F.col("fcf") <= 0, "negative_fcf").when((F.col("rate") < rates.least_rate) | (F.lit(long_growth) >= F.col("rate")), "no_discount_rate").otherwise("valued")
     v = v.withColumn("outcome", outcome)
-    subs = F.array_compact(F.array(F.when(F.col("operating_cash_flow").isNotNull() & F.col("capex").isNull(), F.lit("absent_capex")), F.lit("premium_constant"), F.lit("growth_constant"), F.when(F.col("beta").isNull(), F.lit("no_beta"))))
-    value = F.when(F.col("outcome") == "valued", present_value(F.col("fcf"), F.col("rate"), F.lit(rates.growth), F.lit(long_growth), rates.years))
-    return v.select("cik", "company", "fcf", F.round("rate", 8).alias("rate"), F.round(value, 0).alias("value"), "outcome", F.array_join(subs, ",").alias("substitutions"))
-
-
-def deal_multiples(deals: DataFrame, facts: DataFrame) -> DataFrame:
-    """Value over the filer's newest revenue and net income before the filing; NULL where a denominator is not above zero."""
-    d = deals.where("value_usd is not null and coalesce(filer_role, '') <> 'acquirer'").select("accession", F.col("cik10"), "filed_date", "value_usd").dropDuplicates(["accession"])
-    p = facts.where((F.col("status") == STATED) & F.col("concept").isin("revenue", "net_income")).select(F.col("cik").alias("cik10"), "concept", "value", "period_end")
-    j = d.join(p, "cik10", "left").where("period_end is null or period_end < filed_date")
-    pick = lambda c: F.max(F.when(F.col("concept") == c, F.struct("period_end", "value")))["value"]
-    g = j.groupBy("accession", "cik10", "filed_date", "value_usd").agg(pick("revenue").alias("revenue"), pick("net_income").alias("net_income"), F.max("period_end").alias("pre_end"))
+    valued = F.col("outcome") == "valued"
+    of_peers = F.col("own_beta").isNull() & F.col("peer_beta").isNotNull()
+    marks = {
+        "peer_beta": of_peers, "comp_depth": of_peers & (F.col("depth") < 4), "absent_capex": F.col("operating_cash_flow").isNotNull() & F.col("capex").isNull(), "erp_constant": F.lit(True),
+        "growth_constant": F.col("own_growth").isNull(), "growth_mismatch": F.col("own_growth").isNull() & (F.abs(F.col("past") - rates.growth) > GROWTH_BAND), "no_beta": beta.isNull(),
+    }
+    subs = F.array_compact(F.array(*(F.when(valued & condition, F.lit(name)) for name, condition in marks.items())))
+    at = lambda g: F.round(F.when(valued, present_value(F.col("fcf"), F.col("rate"), g, F.lit(long_growth), rates.years)), 0)
+    return v.select("cik", "company", "period_end", "fcf", F.round(F.when(valued, F.col("rate")), 8).alias("rate"), at(F.col("g")).alias("value"), *(at(F.lit(g)).alias(name) for name, g in FLEX_GROWTH.items()), "outcome", F.array_join(subs, ",").alias("substitutions"))
+
+
+def valuation_coverage(valued: DataFrame) -> DataFrame:
+    """``year, quarter, valued, filers`` by the quarter of the fiscal year's end, never pooled over quarters."""
+    rows = valued.where("period_end is not null").groupBy(F.year("period_end").alias("year"), F.quarter("period_end").alias("quarter"))
+    return rows.agg(F.count_if(F.col("outcome") == "valued").alias("valued"), F.count("*").alias("filers"))
+
+
+#: What the filing record says of a deal's target.
+ACQUIRED_WHOLE, KEPT_FILING, TOO_RECENT = "acquired_whole", "kept_filing", "too_recent"
+
+
+def priced_deals(deals: DataFrame) -> DataFrame:
+    """One row per accession, its newest delivery: operating deals of a stated value whose filer is not the buyer."""
+    rest = [c for c in ("cik", "company", "filed_date", "value_usd", "consideration", "items", "deal_type", "filer_role") if c in deals.columns]
+    one = deals.where("accession is not null").groupBy("accession").agg(F.max(F.struct("ingested_at", "id", *rest)).alias("d")).select("accession", *(f"d.{c}" for c in rest))
+    return one.where("filer_role <> 'acquirer' and value_usd is not null and deal_type = 'operating'").withColumn("cik10", cik_key("cik"))
+
+
+def deal_identity(deals: DataFrame, facts: DataFrame, universe: DataFrame | None, *, today, confirm_days: int = 548, by_facts: bool = False) -> DataFrame:
+    """``priced_deals`` with ``pre_end, last_end, filer_status, last_deal_filing, identity``.
+
+    ``identity`` is NULL without an annual figure before the deal; kept_filing if the filer reported a later
+    period or filed a later deal; too_recent if less than ``confirm_days`` of record lie after it;
+    else acquired_whole.  ``universe`` (``cik, last_period, status``) knows every filer; without it the
+    caller must ask for the weaker test ``by_facts``, or it is an error.
+    ``facts``: ``cik, period_end, ...``; keys are read in any spelling.
+    """
+    if universe is None and not by_facts:
+        raise ValueError("no filer universe; by_facts=True asks for the weaker test by the figures alone")
+    d = priced_deals(deals)
+    periods = facts.select(cik_key("cik").alias("cik10"), "period_end").where("period_end is not null").distinct()
+    if universe is None:
+        known = periods.groupBy("cik10").agg(F.max("period_end").alias("last_end"), F.lit(None).cast("string").alias("filer_status"))
+    else:
+        known = universe.groupBy(cik_key("cik").alias("cik10")).agg(F.max("last_period").alias("last_end"), F.max_by("status", "last_period").alias("filer_status"))
+    before = d.join(periods, "cik10").where("period_end < filed_date").groupBy("accession").agg(F.max("period_end").alias("pre_end"))
+    later = deals.groupBy(cik_key("cik").alias("cik10")).agg(F.max("filed_date").alias("last_deal_filing"))
+    coverage = facts.agg(F.max("period_end").alias("coverage_to"))
+    m = d.join(before, "accession", "left").join(known, "cik10", "left").join(later, "cik10", "left").crossJoin(F.broadcast(coverage))
+    recent = (F.datediff(F.lit(today).cast("date"), "filed_date") < confirm_days) | (F.datediff(F.coalesce("coverage_to", F.lit("1900-01-01").cast("date")), "filed_date") < confirm_days)
+    identity = F.when(F.col("pre_end").isNull(), F.lit(None).cast("string")).when(F.col("last_end") > F.col("pre_end"), KEPT_FILING).when(F.col("last_deal_filing") > F.col("filed_date"), KEPT_FILING).when(recent, TOO_RECENT).otherwise(ACQUIRED_WHOLE)
+    return m.withColumn("identity", identity).drop("coverage_to")
+
+
+def deal_multiples(identified: DataFrame, facts: DataFrame) -> DataFrame:
+    """Value over revenue and net income of the last annual figures before the deal, for targets acquired whole whose revenue is stated.
+
+    Both figures and their tags are those at ``pre_end``; a ratio is NULL where its denominator is not above zero.
+    """
+    f = facts.where((F.col("status") == STATED) & F.col("concept").isin("revenue", "net_income")).select(cik_key("cik").alias("cik10"), F.col("period_end").alias("pre_end"), "concept", "value")
+    pick = lambda c: F.max(F.when(F.col("concept") == c, F.col("value"))).alias(c)
+    whole = identified.where(F.col("identity") == ACQUIRED_WHOLE)
+    at = f.join(whole.select("cik10", "pre_end").distinct(), ["cik10", "pre_end"], "left_semi").groupBy("cik10", "pre_end").agg(pick("revenue"), pick("net_income"))
+    rows = whole.join(at, ["cik10", "pre_end"]).where("revenue is not null")
     ratio = lambda c: F.round(F.when(F.col(c) > 0, F.col("value_usd").cast("double") / F.col(c).cast("double")), 6)
-    return g.withColumn("to_revenue", ratio("revenue")).withColumn("to_income", ratio("net_income"))
+    return rows.select("accession", "cik10", "filed_date", "value_usd", "pre_end", "revenue", "net_income", ratio("revenue").alias("to_revenue"), ratio("net_income").alias("to_income"))

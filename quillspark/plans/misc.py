@@ -203,7 +203,7 @@ def trading_symbol(html: Column) -> Column:
 
 
 def filings_by_cik(deals: DataFrame) -> DataFrame:
-    """Filings with their company's ten-digit key, how often the company files, and whether it files again later."""
+    """Filings with their company's ten-digit key, how late the company files, and whether it files again later."""
     d = deals.withColumn("cik10", cik_key("cik")).groupBy("accession").agg(F.max("cik10").alias("cik10"), F.max("filed_date").alias("filed_date"))
-    last = F.max("filed_date").over(Window.partitionBy("cik10"))
-    return d.withColumn("last_filed", last).withColumn("files_later", F.col("last_filed") > F.col("filed_date"))
+    last = d.groupBy("cik10").agg(F.max("filed_date").alias("last_filed")).withColumnRenamed("cik10", "_k")
+    return d.join(last, F.col("cik10").eqNullSafe(F.col("_k"))).drop("_k").withColumn("files_later", F.col("last_filed") > F.col("filed_date"))

@@ -23,12 +23,14 @@ OUTPUT_TYPES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "facts_resolve": (("period_end", "filed"), ("value",)),
     "filer_universe": (("first_period", "last_period", "first_filed", "last_filed"), ("sic",)),
     "stopped_filers": (("last_period",), ()),
-    "latest_per_concept": ((), ("revenue", "assets", "operating_cash_flow", "capex", "equity", "liabilities", "net_income")),
+    "latest_per_concept": (("period_end",), ("revenue", "assets", "operating_cash_flow", "capex", "equity", "liabilities", "net_income")),
     "peer_sets": ((), ("revenue", "assets", "sic_depth")),
     "peer_ladder_outcomes": ((), ("sic_depth",)),
     "peer_median_value": ((), ("sic_depth", "n")),
     "deal_multiples": (("filed_date", "pre_end"), ("value_usd", "revenue", "net_income")),
-    "deal_identity": (("filed_date", "last_filed"), ()),
+    "dcf_values": (("period_end",), ()),
+    "deal_identity": (("filed_date", "pre_end", "last_end", "last_deal_filing"), ("value_usd",)),
+    "deal_filers": (("filed_date", "last_filed"), ()),
     "sponsors_rollup": (("oldest_plan_eff",), ("active_sum", "active_max")),
     "sponsors_resolved": ((), ("exact_candidates", "norm_candidates")),
     "trend_matched_plans": (("oldest_plan_eff",), ("active_max",)),

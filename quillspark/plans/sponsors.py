@@ -12,6 +12,8 @@ from quillspark.operators.quality import QualityError
 
 # Words that say nothing about who a company is.
 NAME_NOISE = ("inc", "incorporated", "corp", "corporation", "co", "company", "companies", "llc", "llp", "lllp", "lp", "ltd", "limited", "plc", "pc", "pa", "psc", "holdings", "holding", "group", "the", "and", "of", "a", "an")
+# Industries whose organisations are mostly not for profit (a guess by sector).
+NONPROFIT_NAICS = ("712100", "622000", "611000", "624100", "813000", "624200", "624310", "711100", "621420", "623000", "515100", "621498")
 
 
 def name_key(name: Column) -> Column:
@@ -21,7 +23,7 @@ def name_key(name: Column) -> Column:
     return F.array_join(F.filter(F.split(text, r"\s+"), lambda w: (w != "") & ~F.array_contains(noise, w)), " ")
 
 
-def sponsor_rollup(filings: DataFrame, *, nonprofit_naics: Sequence[str] = ("611110", "611310", "622110", "813110")) -> DataFrame:
+def sponsor_rollup(filings: DataFrame, *, nonprofit_naics: Sequence[str] = NONPROFIT_NAICS) -> DataFrame:
     """One row per (plan year, sponsor), over one row per plan.
 
     Amendments fold into the greatest count of a plan; sponsors carry the sum and the
@@ -39,7 +41,7 @@ def sponsor_rollup(filings: DataFrame, *, nonprofit_naics: Sequence[str] = ("611
         F.coalesce(F.bool_or("has_403b"), F.lit(False)).alias("has_403b"), F.coalesce(F.bool_or("short"), F.lit(False)).alias("files_short_form"), F.coalesce(F.bool_or("main"), F.lit(False)).alias("files_main_form"),
     )
     listed = F.coalesce(F.col("naics").isin(list(nonprofit_naics)), F.lit(False))
-    return g.withColumn("nonprofit_basis", F.when(F.col("has_403b") & listed, "both").when(F.col("has_403b"), "plan").when(listed, "naics")).drop("has_403b")
+    return g.withColumn("nonprofit_basis", F.when(F.col("has_403b") & listed, "both").when(F.col("has_403b"), "plan_type").when(listed, "naics")).drop("has_403b")
 
 
 def resolve_sponsors(sponsors: DataFrame, names: DataFrame) -> DataFrame:
