@@ -17,7 +17,8 @@ def read_text_table(spark: SparkSession, paths: str | Sequence[str], *, sep: str
 
     A missing required column is an error that names the nearest present one.
     """
-    df = spark.read.csv(list(paths) if not isinstance(paths, str) else paths, sep=sep, header=True, inferSchema=False, mode="DROPMALFORMED" if skip_bad else "PERMISSIVE", quote="" if sep == "\t" else '"', multiLine=False)
+    reader = spark.read.option("columnPruning", not skip_bad)  # a row is bad by its whole line, whatever columns are read
+    df = reader.csv(list(paths) if not isinstance(paths, str) else paths, sep=sep, header=True, inferSchema=False, mode="DROPMALFORMED" if skip_bad else "PERMISSIVE", quote="" if sep == "\t" else '"', multiLine=False)
     check_header(df.columns, required)
     return df
 

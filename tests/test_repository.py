@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 from quillspark.operators.ledger import ChunkLedger
-from quillspark.plans import company_queries, core_queries, market_queries
+from quillspark.plans import company_queries, core_queries, market_queries, source_queries
 
 ROOT = Path(__file__).resolve().parent.parent
 SOURCES = [p for p in (ROOT / "quillspark").rglob("*.py")]
@@ -28,7 +28,7 @@ def test_no_unreliable_checkpoints_or_row_udfs():
         assert ".localCheckpoint(" not in text and "F.udf(" not in text and ".rdd" not in text, p
 
 
-def test_ledger(tmp_path):
+def test_ledger(spark, tmp_path):
     path, seen = str(tmp_path / "l.json"), []
     assert ChunkLedger(path, "j").run(["a", "b"], seen.append) == ["a", "b"]
     assert ChunkLedger(path, "j").run(["a", "b", "c"], seen.append) == ["c"]
@@ -37,8 +37,8 @@ def test_ledger(tmp_path):
         ChunkLedger(path, "other")
 
 
-SQL = {k: v for m in (core_queries, market_queries, company_queries) for k, v in m.ORACLE_SQL.items()}
-RUN = {k: v for m in (core_queries, market_queries, company_queries) for k, v in m.QUERIES.items()}
+SQL = {k: v for m in (core_queries, market_queries, company_queries, source_queries) for k, v in m.ORACLE_SQL.items()}
+RUN = {k: v for m in (core_queries, market_queries, company_queries, source_queries) for k, v in m.QUERIES.items()}
 
 
 def cell(x):
