@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.exprs import cik_key
 from quillspark.operators import merge
-from quillspark.plans import filers, misc, sponsors
+from quillspark.plans import deal_text, filers, misc, sponsors
 from quillspark.plans.adapters import relation, with_relations
 from quillspark.session import checkpointed
 from quillspark.sources.tables import table
@@ -315,7 +315,36 @@ def text_value_extract(spark, d):
 
 def text_classify(spark, d):
     """Documents by the phrases they hold."""
-    return table(spark, d, "documents").select(misc.classify_text(F.col("text")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("documents"))
+    return table(spark, d, "documents").select(deal_text.classify_text(F.col("text")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("documents"))
+
+
+def text_deal_terms(spark, d):
+    """Documents by kind of agreement, consideration, target's figures and type of deal."""
+    t = F.col("text")
+    kind = deal_text.classify_text(t)
+    terms = table(spark, d, "documents").where("text is not null").select(kind.alias("kind"), deal_text.consideration(t).alias("consideration"), deal_text.target_financials(t).alias("financials"), deal_text.deal_type(t, kind).alias("deal_type"))
+    return terms.groupBy("kind", "consideration", "financials", "deal_type").agg(F.count("*").alias("documents"))
+
+
+def text_deal_value(spark, d):
+    """The greatest amount of each document that stands near words of a price."""
+    return table(spark, d, "documents").select("doc_id", deal_text.deal_value(F.col("text")).cast("double").alias("value"))
+
+
+def text_parties(spark, d):
+    """The filer's role in each deal's text and the other party."""
+    one = table(spark, d, "deals").where("accession is not null").groupBy("accession").agg(F.max(F.struct("ingested_at", "id", "company")).alias("m")).select("accession", "m.company")
+    docs = table(spark, d, "documents").where("accession is not null and text is not null").groupBy("accession").agg(F.max("text").alias("text"))
+    return docs.join(one, "accession", "left").select("accession", deal_text.parties(F.col("text"), F.col("company")).alias("p")).select("accession", "p.*")
+
+
+def proxy_checks(spark, d):
+    """Proxy figures whose quote stands in the filing's text, and whose reference names the filer."""
+    figures = table(spark, d, "proxy_figure").where("reason = 'stated' and quote is not null")
+    names = table(spark, d, "deals").where("accession is not null").groupBy("accession").agg(F.max("company").alias("company"))
+    docs = table(spark, d, "documents").where("accession is not null").groupBy("accession").agg(F.max("text").alias("text"))
+    checked = figures.join(names, "accession", "left").join(docs, "accession", "left").select("field", deal_text.attributed(F.col("reference"), F.col("company")).alias("own"), deal_text.cites(F.col("quote"), F.col("text")).alias("cited"))
+    return checked.groupBy("field", "own", "cited").agg(F.count("*").alias("figures"))
 
 
 def text_section_density(spark, d):
@@ -363,7 +392,7 @@ def overdue_jobs(spark, d):
     return misc.overdue_jobs(beats, cadence, now="2024-02-05 00:00:00").select("job", "due_every_hours", "overdue")
 
 
-QUERIES = {f.__name__: f for f in (facts_resolve, facts_topline, facts_funnel, coverage_status, coverage_matrix, coverage_drift, unmapped_queue, filer_universe, stopped_filers, latest_per_concept, peer_sets, peer_ladder_outcomes, peer_alternatives, peer_median_value, dcf_values, dcf_substitutions, dcf_coverage, deal_multiples, deal_identity, deal_filers, sponsors_rollup, sponsors_resolved, plan_year_completeness, trend_matched_plans, review_queue, mature_population, mature_targets, purchase_clusters, superseded_filings, promote_union, promote_gate, merge_latest, upsert_missing_anti, upsert_macro, widen_ranges, price_fate, ticker_owner_count, ticker_routes, macro_latest, macro_change, reconcile_universe, name_norm, cik_norm, accession_norm, json_payload, text_value_extract, text_classify, text_section_density, text_section_window, visible_text, proxy_shape, projection_growth, projection_coherence, dataset_stats, overdue_jobs)}
+QUERIES = {f.__name__: f for f in (facts_resolve, facts_topline, facts_funnel, coverage_status, coverage_matrix, coverage_drift, unmapped_queue, filer_universe, stopped_filers, latest_per_concept, peer_sets, peer_ladder_outcomes, peer_alternatives, peer_median_value, dcf_values, dcf_substitutions, dcf_coverage, deal_multiples, deal_identity, deal_filers, sponsors_rollup, sponsors_resolved, plan_year_completeness, trend_matched_plans, review_queue, mature_population, mature_targets, purchase_clusters, superseded_filings, promote_union, promote_gate, merge_latest, upsert_missing_anti, upsert_macro, widen_ranges, price_fate, ticker_owner_count, ticker_routes, macro_latest, macro_change, reconcile_universe, name_norm, cik_norm, accession_norm, json_payload, text_value_extract, text_classify, text_deal_terms, text_deal_value, text_parties, proxy_checks, text_section_density, text_section_window, visible_text, proxy_shape, projection_growth, projection_coherence, dataset_stats, overdue_jobs)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -515,6 +544,18 @@ promoted as (select cik10, arg_min(name, (no, name)) filter (where name is not n
 """
 
 
+def _said(pattern: str) -> str:
+    return f"coalesce(regexp_matches(text, $${pattern}$$, 'i'), false)"
+
+
+_KIND_NAMES = sorted({k for k, _, _ in deal_text.PHRASES})
+_KINDS = (
+    "with scores as (select text, " + ", ".join(" + ".join(f"(case when {_said(p)} then {w} else 0 end)" for x, w, p in deal_text.PHRASES if x == k) + f" as {k}" for k in _KIND_NAMES) + " from documents), "
+    + f"kinds as (select text, case when greatest({', '.join(_KIND_NAMES)}) = 0 then null when len(list_filter([{', '.join(_KIND_NAMES)}], lambda v: v = greatest({', '.join(_KIND_NAMES)}))) > 1 then null "
+    + " ".join(f"when {k} = greatest({', '.join(_KIND_NAMES)}) then '{k}'" for k in _KIND_NAMES) + " end as kind from scores) "
+)
+
+
 def _funnel_sql(source: str, conditions: list[str], names: list[str]) -> str:
     held = [" and ".join(f"coalesce({c}, false)" for c in conditions[: k + 1]) for k in range(len(conditions))]
     counts = ", ".join(f"count(*) filter (where {h}) as c{k}" for k, h in enumerate(held))
@@ -579,7 +620,18 @@ select cik, own.ticker, first_seen, last_seen, first_bar, last_bar, case when fi
     "accession_norm": "select id, accession from deals",
     "json_payload": "select event_type, cast(props->>'$.k' as int) as k, count(*) as events from events group by all",
     "text_value_extract": r"""select doc_id, (select cast(max(a) as bigint) from (select round(cast(replace(regexp_extract(x, '\$ ?([0-9][0-9,]*(?:\.[0-9]+)?)', 1), ',', '') as double) * case when x like '%thousand' then 1e3 when x like '%million' then 1e6 when x like '%billion' or x like '%bn' then 1e9 else 1 end) as a from (select unnest(regexp_extract_all(lower(text), '\$ ?[0-9][0-9,]*(?:\.[0-9]+)? ?(?:thousand|million|billion|bn)?')) as x)) where a between 1e4 and 5e11) as amount from documents""",
-    "text_classify": "with s as (select " + ", ".join(f"{' + '.join(f'(case when regexp_matches(lower(text), $${p}$$) then {w} else 0 end)' for x, w, p in misc.PHRASES if x == b)} as {b}" for b in sorted({b for b, _, _ in misc.PHRASES})) + " from documents), m as (select *, greatest(commercial, debt, equity, governance, merger, plan) as best from s) select case when best = 0 then null when (commercial = best)::int + (debt = best)::int + (equity = best)::int + (governance = best)::int + (merger = best)::int + (plan = best)::int > 1 then null when commercial = best then 'commercial' when debt = best then 'debt' when equity = best then 'equity' when governance = best then 'governance' when merger = best then 'merger' else 'plan' end as bucket, count(*) as documents from m group by 1",
+    "text_classify": _KINDS + "select kind as bucket, count(*) as documents from kinds group by 1",
+    "text_deal_terms": _KINDS + f"""
+select kind, case when {_said(deal_text.CASH)} and {_said(deal_text.STOCK)} then 'mixed' when {_said(deal_text.CASH)} then 'cash' when {_said(deal_text.STOCK)} then 'stock' else 'not_stated' end as consideration,
+  case when {_said(deal_text.PROMISED)} then 'rule_305_promised' when {_said(deal_text.FIGURES)} then 'figures_in_filing' else 'none_disclosed' end as financials,
+  case when kind = 'm_and_a' and {_said(deal_text.SHELL_COMPANY)} then 'spac' when kind = 'securitization' then 'securitization' when kind = 'm_and_a' and {_said(deal_text.DIVISION)} and not {_said(deal_text.WHOLE)} then 'division_sale' when kind = 'm_and_a' then 'operating' else 'unclassified' end as deal_type,
+  count(*) as documents from kinds where text is not null group by all""",
+    "proxy_checks": f"""
+with names as (select accession, max(company) as company from deals group by 1), docs as (select accession, max(text) as text from documents group by 1),
+f as (select p.field, p.quote, p.reference, n.company, d.text from proxy_figure p left join names n using (accession) left join docs d using (accession) where reason = 'stated' and quote is not null),
+w as (select *, list_filter(regexp_extract_all(lower(coalesce(company, '')), '[a-z]+'), lambda w: length(w) > 2 and not list_contains({list(deal_text.NAME_NOISE)}, w)) as mine, list_filter(regexp_extract_all(lower(coalesce(reference, '')), '[a-z]+'), lambda w: length(w) > 2 and not list_contains({list(deal_text.NAME_NOISE)}, w)) as theirs from f)
+select field, case when coalesce(reference, '') = '' then false when regexp_matches(reference, $${deal_text.NOT_THE_FILER}$$, 'i') then false when coalesce(company, '') = '' then true when len(mine) = 0 or len(theirs) = 0 then true else list_contains(theirs, mine[1]) or list_contains(mine, theirs[1]) end as own,
+  coalesce(contains(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(quote), '\\s+', ' ', 'g'))), false) as cited, count(*) as figures from w group by all""",
     "text_section_density": r"""with b as (select doc_id, k, len(regexp_extract_all(substr(text, k * 400 + 1, 400), '[0-9][0-9,.]*')) as n from (select doc_id, text, unnest(range(0, greatest(1, cast(ceil(length(text) / 400) as bigint)))) as k from documents)) select doc_id, case when max(n) >= 3 then cast(arg_min(k, (-n, k)) * 400 as bigint) end as at from b group by doc_id""",
     "proxy_shape": "select *, case when prices > 1 then 'several_prices' when prices = 1 then 'one_price' else 'no_price' end as shape from (select accession, count(*) as figures, count(*) filter (where field = 'consideration_per_share' and reason = 'stated') as prices, count(*) filter (where field = 'premium_pct' and reason = 'stated') as premiums, count(*) filter (where field = 'termination_fee' and reason = 'stated') as fees from proxy_figure group by 1)",
     "projection_growth": "with y as (select accession, coalesce(scenario, '') as scenario, fiscal_year, max(revenue) as v from proxy_projection where revenue > 0 group by all), g as (select accession, scenario, count(*) as points, min(fiscal_year) as first_year, max(fiscal_year) as last_year, arg_min(v, fiscal_year) as a, arg_max(v, fiscal_year) as b from y group by all) select accession, scenario, points, first_year, last_year, round(case when last_year > first_year then pow(b::double / a::double, 1.0::double / (last_year - first_year)) - 1 end, 6) as cagr from g",

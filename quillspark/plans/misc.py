@@ -100,25 +100,6 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-#: (bucket, weight, pattern): each pattern counts once, however often it matches.
-PHRASES = (
-    ("merger", 3, r"merger agreement"), ("merger", 1, r"tender offer"), ("debt", 3, r"credit facility"), ("debt", 1, r"notes due"), ("commercial", 3, r"supply pact"), ("plan", 3, r"plan amendment"), ("plan", 1, r"participants?"), ("equity", 3, r"rights offering"), ("governance", 3, r"proxy supplement"), ("governance", 1, r"without a vote against"),
-)
-
-
-def classify_text(text: Column, phrases: Sequence[tuple[str, int, str]] = PHRASES) -> Column:
-    """The bucket with the greatest weight of matching patterns; NULL without a match or on a tie."""
-    buckets = sorted({b for b, _, _ in phrases})
-    low = F.lower(text)
-    score = {b: sum((F.when(low.rlike(p), w).otherwise(0) for x, w, p in phrases if x == b), F.lit(0)) for b in buckets}
-    best = F.greatest(*score.values())
-    ties = sum(((s == best).cast("int") for s in score.values()), F.lit(0))
-    pick = F.lit(None).cast("string")
-    for b in reversed(buckets):
-        pick = F.when(score[b] == best, b).otherwise(pick)
-    return F.when((best > 0) & (ties == 1), pick)
-
-
 _MONEY = r"\$ ?(\d[\d,]*(?:\.\d+)?) ?(thousand|million|billion|bn)?"
 
 
