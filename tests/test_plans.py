@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.plans import filers, market, misc, sponsors
+from quillspark.plans import deal_text, entities, filers, market, misc, sponsors
 from tests.conftest import rows
 
 BARS = "ticker string, date date, close decimal(18,6), volume bigint, security_type string, exchange string, listing_id date"
@@ -114,8 +114,8 @@ def test_superseded_and_promoted(spark):
 
 def test_text_rules(spark):
     one = spark.createDataFrame([("<p>a &lt;b&gt; &amp; c</p><script>x</script>", "paid $5 million, then $2.5 bn and $7", "merger agreement; merger agreement; notes due")], "h string, m string, t string")
-    r = one.select(misc.visible_text(F.col("h")).alias("v"), misc.largest_amount(F.col("m")).alias("a"), misc.classify_text(F.col("t")).alias("c"), misc.classify_text(F.lit("merger agreement and credit facility")).alias("tie")).first()
-    assert tuple(r) == ("a <b> & c", 2_500_000_000, "merger", None)
+    r = one.select(misc.visible_text(F.col("h")).alias("v"), misc.largest_amount(F.col("m")).alias("a"), deal_text.classify_text(F.col("t")).alias("c"), deal_text.classify_text(F.lit("merger agreement and credit facility")).alias("tie")).first()
+    assert tuple(r) == ("a <b> & c", 2_500_000_000, "m_and_a", None)
     assert rows(one.select(sponsors.name_key(F.lit("The Acme & Sons Holdings, Inc.")).alias("k"))) == [("acme sons",)]
 
 
@@ -141,3 +141,34 @@ def test_section_window(spark):
     assert got == {0: (0, len(docs[0]), "Projections", 9, 2), 1: (3, len(docs[1]), "Forecasts", 3, 1), 2: None, 3: None, 4: None, 5: (docs[5].rindex("Forecasts"), len(docs[5]), "Forecasts", 4, 2)}
     near = df.where("i = 0").select(misc.section_window(F.col("text"), ("Projections",), size=300).alias("w")).first()["w"]
     assert tuple(near) == (at, len(docs[0]), "Projections", 9, 2)  # the dense passage lies across blocks of 400
+
+
+def test_bare_names(spark):
+    names = {"The Coca-Cola Company": "coca cola", "Berkshire Hathaway Inc.": "berkshire hathaway", "Acme Holdings, LLC": "acme", "Holdings Inc": "holdings", "Nestlé S.A. Class A": "nestle s a", "A & B Co": "a and b", "": "", "Société Générale SA": "societe generale"}
+    df = spark.createDataFrame([*names.items(), (None, None)], "n string, want string")
+    assert df.where(~entities.bare_name(F.col("n")).eqNullSafe(F.col("want"))).select("n", entities.bare_name(F.col("n"))).collect() == []
+
+
+def test_symbol_gaps(spark):
+    wanted = spark.createDataFrame([("BRK-B", "NYSE"), ("AAC-U", "NYSE"), ("ABCDW", "NASDAQ"), ("ZZZ", "PINK"), ("ABCDF", "X"), ("QQQ", None), ("AAA", "NYSE"), (None, "X")], "ticker string, exchange string")
+    known = spark.createDataFrame([("BRK.B",), ("AAC",), ("ABCD",), ("AAA",), (None,)], "ticker string")
+    assert rows(entities.symbol_gaps(wanted, known)) == [("AAC-U", "parent"), ("ABCDF", "foreign"), ("ABCDW", "parent"), ("BRK-B", "spelling"), ("QQQ", "unknown"), ("ZZZ", "otc")]
+
+
+def test_fund_like(spark):
+    data = [(["Alpha Capital LLC", "Beta Fund"], "ABCDX", "Gamma Inc"), (["Alpha Capital LLC"], None, "Gamma Trust"), (["Alpha Capital LLC", "Jane Doe"], None, "Gamma Trust"), (["Alpha LLC"], "ABC", "Gamma Inc"), ([], None, "Gamma Trust")]
+    df = spark.createDataFrame(data, "b array<string>, s string, i string")
+    assert [r[0] for r in df.select(entities.fund_like(F.col("b"), F.col("s"), F.col("i"))).collect()] == ["all buyers are entities; fund ticker", "all buyers are entities; no listed equity, fund in issuer name", None, None, None]
+
+
+def test_promotion_of_a_day(spark):
+    day = dt.date(2026, 1, 8)
+    listed = spark.createDataFrame([("AA", "stock", 5.0), ("AAW", "stock", -50.0), ("EF", "etf", 90.0), ("LOST", "stock", 1.0)], "ticker string, security_type string, pct_move double")
+    symbols = spark.createDataFrame([("AA", "7", "Alpha", day), ("AAW", "0000000007", "Alpha Inc", day), ("AA", "9", "Old", dt.date(2020, 1, 1))], "ticker string, cik string, company string, last_seen date")
+    deals = spark.createDataFrame([("7", "Alpha Filing", day, "operating"), ("8", "", day, "division_sale"), ("9", "Nine", day, "spac"), ("10", "Ten", dt.date(2026, 1, 7), "operating")], "cik string, company string, filed_date date, deal_type string")
+    at = lambda d, h: dt.datetime(2026, 1, d, h, tzinfo=dt.timezone.utc)
+    clusters = spark.createDataFrame([("cluster:7:insider:2026-01-02", at(2, 0)), ("cluster:11:insider:2026-01-01", at(1, 23)), ("cluster:12:ten_percent:2026-01-08", at(8, 23)), ("odd", at(8, 1))], "key string, at timestamp")
+    got = [tuple(r) for r in entities.promote_day(day, listed, symbols, deals, clusters).collect()]
+    assert got == [("0000000007", "Alpha", "AAW", "AA,AAW", "volatility,deal_filing,form4_cluster", 3), ("0000000008", "0000000008", None, "", "deal_filing", 1), ("0000000012", "0000000012", None, "", "form4_cluster", 1)]
+    with pytest.raises(entities.PromotionError):
+        entities.promote_day(day, listed, symbols.limit(0), deals, clusters)
