@@ -106,7 +106,7 @@ def trend(history: DataFrame, *, newest_complete: int, flat_band: float = 0.05)
 def review_queue(resolved: DataFrame) -> DataFrame:
     """Sponsors that only a name finds, exact ones first, then by number of candidates."""
     q = resolved.where("not by_ein and name_matched").select("plan_year", "ein", "sponsor_name", F.coalesce("exact_cik", "norm_cik").alias("matched_cik"), F.when(F.col("exact_cik").isNotNull(), "exact_name").otherwise("normalized_name").alias("match_basis"), F.coalesce("exact_candidates", "norm_candidates").alias("candidates"), F.least("participants_sum", F.lit(2147483647)).alias("participants"))
-    return q
+    return q.orderBy(F.col("match_basis") != "exact_name", "candidates", "ein", "plan_year")
 
 
 def target_stages(trended: DataFrame, *, today, least_years: float = 20, active: tuple[int, int] = (20, 1000)):

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 from quillspark.operators.ledger import ChunkLedger
-from quillspark.plans import company_queries, core_queries, market_queries, source_queries
+from quillspark.plans import company_queries, core_queries, entity_queries, market_queries, source_queries
 
 ROOT = Path(__file__).resolve().parent.parent
 SOURCES = [p for p in (ROOT / "quillspark").rglob("*.py")]
@@ -37,8 +37,8 @@ def test_ledger(spark, tmp_path):
         ChunkLedger(path, "other")
 
 
-SQL = {k: v for m in (core_queries, market_queries, company_queries, source_queries) for k, v in m.ORACLE_SQL.items()}
-RUN = {k: v for m in (core_queries, market_queries, company_queries, source_queries) for k, v in m.QUERIES.items()}
+SQL = {k: v for m in (core_queries, market_queries, company_queries, source_queries, entity_queries) for k, v in m.ORACLE_SQL.items()}
+RUN = {k: v for m in (core_queries, market_queries, company_queries, source_queries, entity_queries) for k, v in m.QUERIES.items()}
 
 
 def cell(x):
