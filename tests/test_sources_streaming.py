@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators.quality import QualityError
-from quillspark.sources import delimited, feeds, generators
+from quillspark.sources import delimited, feeds, generators, jdbc
 from quillspark.sources.catalog import Catalog, CatalogError, DatasetRef, may_publish, with_listing
 from quillspark.streaming import polling
 from tests.conftest import rows
@@ -81,3 +81,15 @@ def test_stream_windows(spark, tmp_path):
     polling.run_available(polling.windowed_counts(polling.file_stream(spark, src, "k string, at timestamp, value double"), at="at", by=["k"]), lambda b, _: got.extend(b.collect()), checkpoint=str(tmp_path / "c"))
     assert ("a", 2, 5.0) in {tuple(r[1:]) for r in got} or got == []
     assert F is not None
+
+
+def test_database(spark):
+    """A database in memory, read over one connection and over several."""
+    url, driver = "jdbc:derby:memory:quill;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    try:
+        spark.range(100).withColumnRenamed("id", "N").write.format("jdbc").option("url", url).option("driver", driver).option("dbtable", "T").save()
+    except Exception as why:  # this build of Spark brings no database
+        pytest.skip(str(why)[:80])
+    assert jdbc.read_query(spark, url, "select N from T where N < 7", driver=driver).count() == 7
+    parts = jdbc.read_query(spark, url, "select N from T", driver=driver, split=("N", 20, 80, 4))
+    assert parts.rdd.getNumPartitions() == 4 and rows(parts)[:2] == [(0,), (1,)] and parts.count() == 100
