@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +38,15 @@ def _encoding(path: str):
 
 
 def count_tokens(documents: DataFrame, *, text: str = "text", tokenizer: str = TOKENIZER, out: str = "tokens") -> DataFrame:
-    """``documents`` with the number of tokens of each text (NULL: 0), in Arrow batches."""
+    """``documents`` with the number of tokens of each text (NULL: 0), in Arrow batches.
+
+    The tokenizer's ranks are read on the driver's machine and handed out by Spark's file server.
+    """
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    file = os.path.basename(tokenizer)
 
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = _encoding(tokenizer)
+        enc = _encoding(SparkFiles.get(file))
         for s in texts:
             yield pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in s], dtype="int64")
 
