@@ -210,8 +210,8 @@ def learn_words(names: DataFrame, words: Mapping[str, tuple[str, str]] = WORDS,
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(name)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     each = names.select(F.filter(tokens, lambda t: F.length(t).between(3, 40) & ~t.rlike(r"^\d")).alias("ts"))
     df = each.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    total = names.agg(F.count("*").alias("total"))
-    often = df.join(F.broadcast(known), "t", "left_anti").join(F.broadcast(total), F.col("n") >= F.greatest(F.lit(least_count), F.col("total") * least_share)).select("t", "n")
+    least = max(least_count, names.count() * least_share)
+    often = df.where(F.col("n") >= least).join(F.broadcast(known), "t", "left_anti").select("t")
     frequent = [r["t"] for r in often.collect()]
     if not frequent:
         return dict(words)
