@@ -383,16 +383,16 @@ def radius_links(cores: DataFrame, *, radius: int, cell_limit: int = 1000) -> Da
 def components(nodes: DataFrame, links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """``id, component`` (the least id of each connected component).
 
-    Each round hooks every node to the first of its neighbours by a hash order of
-    that round and contracts the graph, whose size falls by a constant factor; only nodes with links take part.
+    Each round hooks every node to the first of itself and its neighbours by an order of hashes
+    and contracts the graph, whose size falls by a constant factor; only nodes with links take part.
     """
     edges = checkpointed(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     levels = []
-    for salt in range(most_rounds):
+    for _ in range(most_rounds):
         if edges.isEmpty():
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(salt), c).alias("h"), F.col(c).alias("to"))
+        rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("to"))
         hook = checkpointed(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.least("m", rank("a"))["to"].alias("to")))
         levels.append(hook)
         to = lambda c, new: hook.select(F.col("a").alias(c), F.col("to").alias(new))
