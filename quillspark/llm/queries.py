@@ -12,6 +12,7 @@ from quillspark.llm.names import entity_classes, entity_pairs
 from quillspark.llm.nearest import nearest_day
 from quillspark.llm.sentences import split_sentences
 from quillspark.operators.filings import ticker_at_filing
+from quillspark.session import checkpointed
 from quillspark.sources.tables import table
 
 
@@ -33,7 +34,7 @@ def p3_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The bar nearest to each filing, at most five days off."""
-    held = ticker_at_filing(table(spark, d, "deals"), table(spark, d, "company_ticker_history"))
+    held = checkpointed(ticker_at_filing(table(spark, d, "deals"), table(spark, d, "company_ticker_history")))  # read twice below
     bars = table(spark, d, "prices_eod_raw").where("close is not null").select("ticker", "date")
     near = nearest_day(held, bars, left_key="ticker", left_day="filed_date", right_key="ticker", right_day="date", tolerance=5, out="bar")
     return held.join(near, ["ticker", "filed_date"]).select("accession", "ticker", iso("bar").alias("bar_date"))
