@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.actions import actions_between
@@ -53,19 +53,18 @@ def vol_funnel(spark, d):
 
 
 def vol_new_names(spark, d):
-    """Names of the newest day's lists that the day before did not hold."""
-    lists = m.top_moves(_moves(spark, d))
-    days = lists.select("date").distinct().orderBy(F.desc("date")).limit(2)
-    newest = days.agg(F.max("date").alias("newest"), F.min("date").alias("prior"))
-    tagged = lists.join(F.broadcast(newest), (F.col("date") == F.col("newest")) | (F.col("date") == F.col("prior")))
-    by = ["security_type", "band", "liquidity", "direction"]
-    return m.new_names(tagged.where("date = newest"), tagged.where("date = prior and prior < newest"), by=by)
+    """Names of each day's lists that the lists of the day before did not hold."""
+    lists = checkpointed(m.top_moves(_moves(spark, d)))  # read three times below
+    # one row a day in all: the ordered window is bounded by the number of days
+    days = lists.select("date").distinct().withColumn("day_no", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("date")))
+    tagged = lists.join(days, "date")
+    by = ["day_no", "security_type", "band", "liquidity", "direction"]
+    new = m.new_names(tagged.where("day_no > 1"), tagged.withColumn("day_no", F.col("day_no") + 1), by=by)
+    return new.join(days, "day_no").select("date", *by[1:], "ticker")
 
 
 def actions_range_product(spark, d):
     """Actions between neighbouring bars of a listing."""
-    from pyspark.sql import Window
-
     px = _bars(spark, d).where("close is not null and volume is not null").select("ticker", "listing_id", "date")
     spans = px.withColumn("prev_date", F.lag("date").over(Window.partitionBy("ticker", "listing_id").orderBy("date"))).where("prev_date is not null")
     return actions_between(spans, relation(spark, d, "actions"), after="prev_date", upto="date", keys=("ticker", "listing_id", "date"))
@@ -218,8 +217,8 @@ ORACLE_SQL = {
   count(*) filter (where passes_floor and within_gap and not action_suspect and avg_dollar_volume > 5000000 and adv_sessions < 30) as thin_history from moves group by date"""),
     "vol_funnel": _moved(""", c as (select count(*) as a, count(*) filter (where passes_floor) as b, count(*) filter (where passes_floor and within_gap) as c, count(*) filter (where passes_floor and within_gap and not action_suspect) as d from moves)
 select 0 as stage_no, 'moves' as stage, a as remaining, cast(0 as bigint) as removed, false as collapsed from c union all select 1, 'above the floor', b, a - b, b = 0 and a > 0 from c union all select 2, 'no long gap', c, b - c, c = 0 and b > 0 from c union all select 3, 'explained', d, c - d, d = 0 and c > 0 from c"""),
-    "vol_new_names": _listed(""", days as (select distinct date from lists order by date desc limit 2), e as (select max(date) as newest, min(date) as prior from days)
-select distinct security_type, band, liquidity, direction, ticker from lists, e where date = newest and not exists (select 1 from lists p where p.date = e.prior and e.prior < e.newest and p.security_type = lists.security_type and p.band = lists.band and p.liquidity = lists.liquidity and p.direction = lists.direction and p.ticker = lists.ticker)"""),
+    "vol_new_names": _listed(""", d as (select date, row_number() over (order by date) as n from (select distinct date from lists)), t as (select lists.*, n from lists join d using (date))
+select distinct date, security_type, band, liquidity, direction, ticker from t where n > 1 and not exists (select 1 from t p where p.n = t.n - 1 and p.security_type = t.security_type and p.band = t.band and p.liquidity = t.liquidity and p.direction = t.direction and p.ticker = t.ticker)"""),
     "actions_range_product": _moved("select * from acted"),
     "action_audit": with_relations("bars", "actions", then="""px as (select ticker, date, close from bars where close >= 0.01), seq as (select *, lag(close) over w as prev_close, lag(date) over w as prev_date from px window w as (partition by ticker order by date))
 select ticker, date, prev_date, prev_close, close, cast(close::double / prev_close::double as decimal(24,6)) as ratio, case when close::double / prev_close::double > 1 then 'jump' else 'fall' end as direction from seq s

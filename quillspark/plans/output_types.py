@@ -8,6 +8,7 @@ OUTPUT_TYPES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "vol_adv_trailing": (("listing_id", "date"), ()),
     "vol_topn_lists": (("date",), ("pct_move",)),
     "vol_counters": (("date",), ()),
+    "vol_new_names": (("date",), ()),
     "actions_range_product": (("listing_id", "date"), ("split_factor", "div_cash")),
     "action_audit": (("date", "prev_date"), ("prev_close", "close", "ratio")),
     "audit_summary": ((), ("greatest", "least")),
