@@ -107,3 +107,13 @@ def recover_partition(spark, path: str) -> None:
 def write_years(df: DataFrame, path: str, *, day: str = "date") -> None:
     """Write by year folder, replacing only the years that ``df`` holds."""
     df.withColumn("year", F.year(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("year").parquet(path)
+
+
+def write_ordered(df: DataFrame, path: str, *, order: Sequence[str], types: dict[str, str] | None = None) -> None:
+    """Write in one order over all files (by ranges, so every task sorts its own), with columns cast to ``types`` first; NULLs first.
+
+    A value that does not fit its type is an error, not a NULL.
+    """
+    assert_columns(df, [*order, *(types or {})])
+    typed = df.withColumns({c: F.col(c).cast(t) for c, t in (types or {}).items()})
+    typed.sort(*order).write.mode("overwrite").option("compression", "zstd").parquet(path)

@@ -181,6 +181,24 @@ def snk_review_inserts(spark, d):
     return queue.groupBy("plan_year").agg(F.count("*").alias("rows"), F.sum("participants").cast("bigint").alias("participants")).crossJoin(F.broadcast(left))
 
 
+def snk_ordered(spark, d):
+    """Orders written in the order of their customers with narrower types, and whether each file holds a range of it."""
+    room = _room(spark)
+    merge.write_ordered(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), room, order=["o_custkey", "o_orderkey"], types={"o_totalprice": "decimal(12,2)"})
+    back = spark.read.parquet(room).withColumn("file", F.input_file_name())
+    spans = back.groupBy("file").agg(F.min("o_custkey").alias("a"), F.max("o_custkey").alias("b"), F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    clash = spans.alias("x").join(spans.alias("y"), (F.col("x.file") < F.col("y.file")) & (F.col("x.a") < F.col("y.b")) & (F.col("y.a") < F.col("x.b"))).agg(F.count("*").alias("overlaps"))
+    return spans.agg(F.sum("n").alias("rows"), F.sum("total").cast("double").alias("total")).crossJoin(F.broadcast(clash))
+
+
+def snk_figure_upsert(spark, d):
+    """Proxy figures extracted twice: the newer extraction over the older, fields it leaves empty kept."""
+    f = table(spark, d, "proxy_figure").where("accession is not null and field is not null")
+    pick = lambda fold: f.groupBy("accession", "field").agg(fold(F.struct("extracted_at", "id", "value", "unit")).alias("m")).select("accession", "field", F.col("m.value").alias("value"), F.col("m.unit").alias("unit"))
+    stored, staged = pick(F.min), pick(F.max)
+    return merge.upsert(stored, staged, keys=["accession", "field"]).groupBy("field").agg(F.count("*").alias("filings"), F.count("value").alias("with_value"), F.count("unit").alias("with_unit"))
+
+
 def snk_chunks(spark, d):
     """A sweep by year that resumes: chunks that are done are not done again."""
     room, years = _room(spark), table(spark, d, "orders").select(F.year("o_orderdate").alias("y"), "o_totalprice")
@@ -238,7 +256,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         src_catalog_all_years, src_catalog_recent_years, src_catalog_lookup, src_text_table, src_csv_skips_bad_rows, src_index_lines, src_submissions, src_observations, src_ticker_map, src_feed, src_ownership, src_universe, src_generated_bars,
-        snk_publish, snk_review_inserts, snk_chunks, chk_contracts, ord_named, fn_market_day, stream_first,
+        snk_publish, snk_review_inserts, snk_ordered, snk_figure_upsert, snk_chunks, chk_contracts, ord_named, fn_market_day, stream_first,
     )
 }
 
@@ -265,6 +283,12 @@ with b as (select t, d, date '2024-01-01' + cast(d as int) as day, t * 1000 + d
 select concat('T', lpad(cast(b.t as varchar), 6, '0')) as ticker, mark, cast(h as int) as h, count(*) as bars, max(volume) as volume from b join m on m.t = b.t cross join (select unnest([1, 5]) as h) x where day(b.day) % h = 0 group by 1, 2, 3""",
     "snk_publish": "select count(*) as rows, count(distinct o_custkey) as customers, count(*) filter (where o_orderkey % 2 = 0) as first_rows, count(*) as second_rows, true as smaller_refused from orders",
     "snk_review_inserts": "select plan_year, count(*) as rows, cast(sum(participants) as bigint) as participants, cast(0 as bigint) as still_missing from (select ein, plan_year, max(participants) as participants from entity_review where ein is not null group by 1, 2) group by 1",
+    "snk_ordered": "select count(*) as rows, cast(sum(cast(o_totalprice as decimal(12,2))) as double) as total, cast(0 as bigint) as overlaps from orders",
+    "snk_figure_upsert": """
+with f as (select * from proxy_figure where accession is not null and field is not null),
+old as (select accession, field, value, unit from f qualify row_number() over (partition by accession, field order by extracted_at nulls first, id) = 1),
+new as (select accession, field, value, unit from f qualify row_number() over (partition by accession, field order by extracted_at desc nulls last, id desc) = 1)
+select n.field, count(*) as filings, count(coalesce(n.value, o.value)) as with_value, count(coalesce(n.unit, o.unit)) as with_unit from new n left join old o on o.accession = n.accession and o.field = n.field group by 1""",
     "snk_chunks": "with y as (select cast(year(o_orderdate) as int) as year, count(*) as orders from orders group by 1) select year, orders, cast(3 as int) as first_run, cast((select count(*) from y) - 3 as int) as second_run from y",
     "chk_contracts": """
 select cast(y as int) as year, a <= make_date(y, 1, 8) and b >= make_date(y, 12, 29) as closed, make_date(y, 12, 31) - b <= 5 and n >= 10 as fresh from (select year(date) as y, min(date) as a, max(date) as b, count(*) as n from prices_eod_raw group by 1)""",
