@@ -6,10 +6,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions.exprs import cik_key
+from quillspark.operators.bands import banded_ladder
 from quillspark.operators.quality import funnel
 from quillspark.session import checkpointed
 
@@ -151,12 +155,13 @@ def filer_universe(sub: DataFrame, *, stopped_days: int = 548) -> DataFrame:
 
 
 def latest_figures(facts: DataFrame) -> DataFrame:
-    """One row per operating filer with its newest figure of each concept; figures not stated are NULL."""
-    w = Window.partitionBy("cik", "concept").orderBy(F.desc_nulls_last("period_end"), F.desc_nulls_last("filed"), F.desc_nulls_last("adsh"))
-    newest = facts.where("sic_class = 'operating'").withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    figure = lambda c: F.max(F.when((F.col("concept") == c) & (F.col("status") == STATED), F.col("value"))).alias(c)
+    """One row per operating filer with its newest figure of each concept; figures not stated are NULL.
+
+    One fold per filer: rows in order of filers need neither a shuffle nor a sort.
+    """
     at = F.struct("period_end", "filed", "adsh", "concept")
-    return newest.groupBy("cik").agg(F.max_by("company", at).alias("company"), F.max_by("sic", at).alias("sic"), F.max("period_end").alias("period_end"), *(figure(c) for c in ("revenue", "assets", "operating_cash_flow", "capex", "equity", "liabilities", "net_income")))
+    newest = lambda c: F.max(F.when(F.col("concept") == c, F.struct("period_end", "filed", "adsh", F.when(F.col("status") == STATED, F.col("value")).alias("v"))))["v"].alias(c)
+    return facts.where("sic_class = 'operating'").groupBy("cik").agg(F.max_by("company", at).alias("company"), F.max_by("sic", at).alias("sic"), F.max("period_end").alias("period_end"), *(newest(c) for c in ("revenue", "assets", "operating_cash_flow", "capex", "equity", "liabilities", "net_income")))
 
 
 def _peer_pairs(base: DataFrame, peers: DataFrame, *, depth: int, band: float) -> DataFrame:
@@ -178,21 +183,31 @@ def _peer_pairs(base: DataFrame, peers: DataFrame, *, depth: int, band: float) -
 def peer_sets(facts: DataFrame, *, material: int = 1_000_000, least: int = 8, band: float = 3.0, depths: Sequence[int] = (4, 3, 2)) -> DataFrame:
     """Peers of every operating filer by industry and size, with the ladder's answer.
 
-    The first depth with enough material peers serves; counts and ratios all come from that depth.  Counts need no pairs (``band_counts``);
-    the quartiles do, and take those of the serving depth only.
+    The first depth with enough material peers serves; counts and ratios all come from that depth.  Neither needs
+    pairs, which would grow as the square of an industry: the filers of an industry of the least depth meet once, in
+    one Arrow group with one row each, and ``banded_ladder`` reads counts and quartiles off their order of sizes.
     """
     base = latest_figures(facts).select("cik", "company", "sic", "revenue", "assets").withColumn("turnover", F.when((F.col("assets") > 0) & F.col("revenue").isNotNull(), F.col("revenue").cast("double") / F.col("assets").cast("double")))
-    base = checkpointed(base)  # one row per filer, read a dozen times below
-    placeable = base.where("sic is not null and assets > 0")
-    mat = F.col("revenue") > material
-
-    choice = _depth_choice(placeable, placeable, depths=depths, band=band, measures={"banded": F.lit(True), "material": mat}, deciding="material", least=least)
-
-    def quartiles(pairs: DataFrame) -> DataFrame:
-        q = F.percentile(F.when(mat, F.col("turnover")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return pairs.groupBy("a_cik").agg(q.alias("q")).select(F.col("a_cik").alias("cik"), F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    placeable = F.coalesce(F.col("cik").isNotNull() & F.col("sic").isNotNull() & (F.col("assets") > 0), F.lit(False))
+    base = base.withColumns({"_size": F.when(placeable, F.col("assets").cast("double")), "_material": F.coalesce(F.col("revenue") > material, F.lit(False))})
+    steps = sorted(depths, reverse=True)
+    divisors = [10 ** (4 - d) for d in steps]
+
+    def ladder(group: pa.Table) -> pa.Table:
+        if group["_size"].null_count:  # the filers without a place
+            return group.append_column("depth", pa.nulls(len(group), pa.int32())).append_column("banded", pa.nulls(len(group), pa.int64())).append_column("material", pa.nulls(len(group), pa.int64())).append_column("median", pa.nulls(len(group), pa.float64())).append_column("iqr", pa.nulls(len(group), pa.float64()))
+        numbers = [group[c].to_numpy() for c in ("sic", "_size", "turnover", "_material")]
+        step, banded, count, (q1, q2, q3) = banded_ladder(*numbers, band=band, least=least, divisors=divisors, shares=(0.25, 0.5, 0.75))
+        none = step < 0
+        for name, values, missing in (("depth", np.array(steps, np.int32)[step], none), ("banded", banded, none), ("material", count, none), ("median", q2, np.isnan(q2)), ("iqr", q3 - q1, np.isnan(q2))):
+            group = group.append_column(name, pa.array(values, mask=missing))
+        return group
+
+    # filers without a place have no industry to meet in
+    place = base.withColumns({"_industry": F.when(placeable, F.expr(f"sic div {divisors[-1]}")), "_spread": F.when(~placeable, F.pmod(F.xxhash64("cik"), F.lit(64)))})
+    schema = T.StructType(place.schema.fields + [T.StructField("depth", T.IntegerType()), T.StructField("banded", T.LongType()), T.StructField("material", T.LongType()), T.StructField("median", T.DoubleType()), T.StructField("iqr", T.DoubleType())])
+    out = place.groupBy("_industry", "_spread").applyInArrow(ladder, schema)
 
-    out = base.join(choice, "cik", "left").join(_at_depth(placeable, placeable.where(mat), choice, quartiles, depths=depths, band=band), "cik", "left")
     depth = F.col("depth")
     outcome = F.when(F.col("sic").isNull() | F.coalesce(F.col("assets") <= 0, F.lit(True)), "unplaceable").when(F.coalesce(F.col("revenue") <= material, F.lit(True)), "immaterial").when(depth.isNull(), "too_few_peers").otherwise("served")
     got = out.select("cik", "company", "sic", "revenue", "assets", depth.alias("sic_depth"), F.coalesce("banded", F.lit(0)).alias("peers_banded"), F.coalesce("material", F.lit(0)).alias("peers_material"), F.round("median", 6).alias("turnover_median"), F.round("iqr", 6).alias("turnover_iqr"), F.round("turnover", 6).alias("turnover_self"), outcome.alias("outcome"))

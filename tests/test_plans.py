@@ -89,6 +89,70 @@ def test_peer_ladder_against_pairs(spark):
         assert got[c] == want, c
 
 
+def test_peer_sets_without_pairs(spark):
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(5)
+    sizes = [3**k for k in range(4, 9)] * 6 + [rnd.randint(50, 9000) for _ in range(150)]
+    companies = [(f"c{i}", rnd.choice([3011, 3012, 3020, 3100, 4000]), size, rnd.choice([1, 40, size // 2, 3 * size, 3 * size])) for i, size in enumerate(sizes)]
+    companies += [(None, 3011, 729, 2000), ("no code", None, 729, 2000), ("no size", 3011, 0, 2000)]
+    facts = [(c, c, sic, "operating", concept, Decimal(v), "stated", d(0), d(1), c) for c, sic, size, revenue in companies for concept, v in (("assets", size), ("revenue", revenue))]
+    sets = filers.peer_sets(spark.createDataFrame(facts, "cik string, company string, sic int, sic_class string, concept string, value decimal(28,4), status string, period_end date, filed date, adsh string"), material=30, least=8)
+    plan = sets._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Generate" not in plan  # pairs grow as the square of an industry
+    got = {r["cik"]: r for r in sets.collect()}
+    assert len(got) == len(companies)
+    for c, sic, size, revenue in companies:
+        want = (None, 0, 0, None, None)
+        for depth in (4, 3, 2) if c and sic and size else ():
+            peers = [(z, r) for p, s, z, r in companies if p and p != c and s and s // 10 ** (4 - depth) == sic // 10 ** (4 - depth) and z and size / 3 <= z <= size * 3]
+            turnovers = [r / z for z, r in peers if r > 30]
+            if len(turnovers) >= 8:
+                q1, q2, q3 = np.percentile(turnovers, [25, 50, 75])
+                want = (depth, len(peers), len(turnovers), pytest.approx(q2, abs=2e-6), pytest.approx(q3 - q1, abs=2e-6))
+                break
+        r = got[c]
+        assert (r["sic_depth"], r["peers_banded"], r["peers_material"], r["turnover_median"], r["turnover_iqr"]) == want, c
+
+
+def test_band_ladder_against_all_pairs():
+    import numpy as np
+
+    from quillspark.operators.bands import banded_ladder
+
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 40, 257):
+        code, size, material = rng.integers(2000, 2004, n), rng.choice([1.0, 3.0, 9.0, 27.0, 81.0, 10.0], n), rng.random(n) < 0.7
+        value = np.where(material, rng.integers(0, 5, n).astype(float), np.nan)
+        step, banded, count, found = banded_ladder(code, size, value, material, band=3.0, least=3, divisors=(1, 10), shares=(0.25, 0.5, 0.75))
+        for i in range(n):
+            want = (-1, 0, 0)
+            for k, divisor in enumerate((1, 10)):
+                near = (code // divisor == code[i] // divisor) & (size >= size[i] / 3) & (size <= size[i] * 3) & (np.arange(n) != i)
+                if (near & material).sum() >= 3:
+                    want = (k, near.sum(), (near & material).sum())
+                    assert np.allclose(found[:, i], np.quantile(value[near & material], [0.25, 0.5, 0.75]), rtol=0, atol=1e-12)
+                    break
+            assert (step[i], banded[i], count[i]) == want
+            assert want[0] >= 0 or np.isnan(found[:, i]).all()
+
+
+def test_latest_figures_in_one_fold(spark, data):
+    from quillspark.plans.adapters import RELATIONS, relation
+    from quillspark.sources.tables import table
+
+    f = lambda cik, concept, value, status, end, filed, adsh, company="N": (cik, company, 1, "operating", concept, value, status, end, filed, adsh)
+    facts = [f("1", "revenue", Decimal(5), "stated", d(0), d(1), "a"), f("1", "revenue", Decimal(7), "stated", d(0), d(2), "b"), f("1", "assets", Decimal(9), "stated", d(0), d(1), "a"), f("1", "assets", None, "absent", d(9), d(9), "c"), f("1", "other", Decimal(1), "stated", d(10), None, "d", "New"), f("2", "capex", Decimal(3), "stated", None, d(5), "e")]
+    got = filers.latest_figures(spark.createDataFrame(facts, "cik string, company string, sic int, sic_class string, concept string, value decimal(28,4), status string, period_end date, filed date, adsh string"))
+    assert [(r["cik"], r["company"], r["period_end"], r["revenue"], r["assets"], r["capex"]) for r in got.orderBy("cik").collect()] == [("1", "New", d(10), Decimal(7), None, None), ("2", "N", None, None, None, Decimal(3))]
+    built, said = relation(spark, data, "facts_long"), spark.sql(RELATIONS["facts_long"], orders=table(spark, data, "orders"), customer=table(spark, data, "customer"))
+    assert built.dtypes == said.dtypes and built.exceptAll(said).isEmpty() and said.exceptAll(built).isEmpty()
+    plan = filers.latest_figures(built)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Window" not in plan  # orders and customers, no rows of concepts
+
+
 def test_clusters_are_greedy_and_apart(spark):
     buys = [("i", "insider", b, d(n), Decimal(60_000)) for b, n in (("a", 0), ("b", 2), ("a", 3), ("a", 4), ("c", 9), ("d", 10), ("d", 10))]
     got = rows(sponsors.purchase_clusters(spark.createDataFrame(buys, "issuer string, role string, buyer string, day date, value decimal(18,2)")).select("first", "last", "buyers", "buys"))
